@@ -36,8 +36,8 @@ MOST_HASHES = 192
 BATCH = 30
 #: Buckets up to this size give all their pairs.
 SMALL = 4
-#: Rows in a block of a large bucket.
-BLOCK_ROWS = 128
+#: Rows and shingles that a block of a large bucket holds on average, and so what a task holds of two blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 _random = np.random.default_rng(4_099)
 MULTIPLY = _random.integers(0, 1 << 31, MOST_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -211,8 +211,8 @@ def _links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """Links (a, b) between representatives that join all pairs above the threshold."""
     bands, rows = banding(percent)
     hashes = bands * rows
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    buckets = materialise(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    banded = classes.select("id", "size", F.explode("bands").alias("key"))
+    buckets = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).filter("n > 1"), "buckets")
     bits = bitmaps.bits_for(buckets.count())
     pages = materialise(bitmaps.build(buckets, F.col("key"), bits), "filter")
     some = bitmaps.probe(banded, F.col("key"), pages, bits).filter("_maybe").drop("_maybe")
@@ -223,7 +223,7 @@ def _links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     met = materialise(members.groupBy("id").agg(F.sum("n").alias("met")), "met")
     large = members.filter(F.col("n") > SMALL)
     hubs = large.join(met, "id").groupBy("key", "n").agg(F.max(F.struct("met", -F.col("id"))).alias("h")).select("key", "n", (-F.col("h.col2")).alias("hub"))
-    star = join_by_size(large.drop("n"), hubs, ["key"], "n", members.count()).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    star = join_by_size(large.select("id", "key"), hubs, ["key"], "n", members.count()).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     few = members.filter(F.col("n") <= SMALL)
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").select("a", "b")
     ordered = star.unionByName(pairs).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -246,7 +246,7 @@ def _links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     here = large.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     here = materialise(here, "placed")
     split = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n")).filter("low <> high").select("key", "_n")
-    rest = join_by_size(here, split, ["key"], "_n", here.count()).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)))
+    rest = join_by_size(here, split, ["key"], "_n", here.count()).withColumn("blocks", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES))))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
@@ -269,9 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = banding(percent)
     profile = materialise(texts.mapInArrow(_profile(words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "profile")
     sets = profile.filter("n_shingles > 0")
-    classes = materialise(sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    classes = materialise(sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
     named = classes.filter("id is not null")
-    found = components(_links(named.dropDuplicates(["id"]).select("id", "bands"), texts, words, percent))
+    found = components(_links(named.dropDuplicates(["id"]).select("id", "size", "bands"), texts, words, percent))
     homes = classes.select("set_key", "copies", "id").join(found, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component_id"))
     homes = materialise(homes, "homes")
     own = join_by_size(sets.select("doc_id", "n_shingles", "set_key"), homes, ["set_key"], "copies", profile.count())

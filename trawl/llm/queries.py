@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawl.llm.exact_dedup import exact_duplicates
 
@@ -25,7 +43,37 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_near_dedup": op5_near_dedup}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.chat_format import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_exact_dedup, op5_near_dedup, op6_token_counts, op7_license_scan, op8_decontamination, op9_quality, op10_chat_format)}
 
 SQL = {
     "op4_exact_dedup": f"""
