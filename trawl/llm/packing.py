@@ -13,6 +13,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,12 @@ class WordIds:
         return [np.frombuffer(b"".join([get(w) or other(w, b"") for w in own]), "<u4") for own in words]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that its tasks share the remembered words."""
+    return WordIds(path)
+
+
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """The window of each size, by multiway Karmarkar-Karp differencing of partial partitions."""
     if not len(sizes):
@@ -158,7 +165,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, batch, sequence = WordIds(path), _Batch(capacity, WINDOWS, SLACK), 0
+        encoder, batch, sequence = word_ids(path), _Batch(capacity, WINDOWS, SLACK), 0
         for table in batches:
             for part in kernel.pieces(table, "text", 1 << 20):
                 ids_of = encoder.encode([t or "" for t in part.column(1).to_pylist()])
