@@ -124,7 +124,7 @@ def text_shingles(column: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarra
     return shingles(word_hashes(data, starts, ends), bounds, k)
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

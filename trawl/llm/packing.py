@@ -28,56 +28,76 @@ CAPACITY, END_ID = 1024, 0
 #: Windows in a batch, the free ids in each that a batch is made for, and the ids in a fragment at most.
 WINDOWS, SLACK, FRAGMENT = 256, 5, 128
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: New words encoded as one text.
 TOGETHER = 1000
 #: A single space between characters that are no white space: the byte-level split never has a token across it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Texts in which a space may stand beside other white space are split at SAFE, all others at every space.
-ODD = re.compile(r"\s\s|^\s|\s$")
-WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0"
+#: Characters encoded at once of a text that isn't plain.
+LONG = 1 << 16
+_OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def is_plain(text: str) -> bool:
+    """True if all white space are single spaces and single line feeds between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "<|" in text:
+        return False
+    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in _OTHER_WHITE))
 
 
 class WordIds:
     """Token ids of texts by their words; each distinct word is encoded once while it is remembered.
 
-    The tokenizer splits before the space of a word, so the ids of a text are those of its parts, cut before single
-    spaces. ids are held as unsigned 32-bit little-endian bytes.
+    The tokenizer splits before the space of a word and around a single line feed, so the ids of a plain text are
+    those of its words, each with the space or line feed before it. A word of the memory that begins with a line feed
+    has that, any other a space. ids are held as unsigned 32-bit little-endian bytes.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {"": b""}
+        self.tokenizer, self.known = load(path), {}
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for piece, i in self.tokenizer.get_vocab().items():
-            self.begins[i] = piece.startswith("\u0120")  # the vocabulary's sign for a space
+            self.begins[i] = piece.startswith("\u0120") or piece == "\u010a"  # the vocabulary's signs for space and line feed
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Plain words, a space and then no white space, are encoded together; each begins with a piece that has the space."""
-        plain = [w for w in words if w[0] == " " and len(w) > 1 and len(w.split()) == 1 and w[-1] not in WHITE and "<|" not in w]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        """Many words as one text; each begins with a piece that has its space or line feed."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         out = {}
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self._encode(["".join(w if w[0] == "\n" else " " + w for w in g) for g in groups]), strict=True):
             at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(group):
-                raw = ids.tobytes()
-                bounds = [*(at * 4).tolist(), len(raw)]
-                out |= {w: raw[a:b] for w, a, b in zip(group, bounds[:-1], bounds[1:], strict=True)}
-        rest = [w for w in words if w not in out]
-        return out | dict(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
+            if len(at) != len(group):
+                raise ValueError("this tokenizer doesn't begin each word with a piece of its own")
+            raw = ids.tobytes()
+            bounds = [*(at * 4).tolist(), len(raw)]
+            out.update(zip(group, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        parts, start = [], 0
+        while len(text) - start > LONG and (cut := SAFE.search(text, start + LONG)):
+            parts.append(text[start : cut.start()])
+            start = cut.start()
+        return np.concatenate(self._encode([*parts, text[start:]]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [SAFE.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        words = [[own[0], *[" " + w for w in own[1:]]] for own in parts]
-        new = [w for w in {w for own in words for w in own} if w not in self.known]
+        words = [("\n" + t).replace("\n", " \n").split(" ")[1:] if is_plain(t) else None for t in texts]
+        new = list(set().union(*[own for own in words if own]).difference(self.known))
         fresh = self._words(new)
         if len(self.known) + len(new) <= REMEMBERED:
             self.known |= fresh
-            return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4") for own in words]
+            fresh = {}
         get, other = self.known.get, fresh.get
-        return [np.frombuffer(b"".join([get(w) or other(w, b"") for w in own]), "<u4") for own in words]
+        out = []
+        for text, own in zip(texts, words, strict=True):
+            if own is None:
+                out.append(self._whole(text) if text else np.zeros(0, "<u4"))
+            else:  # without the line feed put before the first word
+                raw = b"".join([get(w) or other(w) for w in own] if fresh else map(self.known.__getitem__, own))
+                out.append(np.frombuffer(raw, "<u4")[1:])
+        return out
 
 
 @lru_cache(maxsize=1)
