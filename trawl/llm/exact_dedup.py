@@ -45,7 +45,7 @@ class DigestIndex:
 
     def flush(self, entries: DataFrame) -> DataFrame:
         """Writes each task's entries (digest, keep_id) as a sorted run with a filter and returns what was written."""
-        path = f"{self.folder}/level0-{len(self.runs)}"
+        path = f"{self.folder}/level0-{uuid.uuid4().hex}"
         run = entries.select("digest", "keep_id", F.lit(1).cast("long").alias("n")).sortWithinPartitions("digest")
         run.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
         self.runs.append(path)

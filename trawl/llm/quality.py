@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(statistics(part.column(0))), pa.list_(pa.float64()))], schema=schema)
 
     found = rows.mapInArrow(run, "y int, x array<double>").limit(4 * per_class).toPandas()
-    return fit(np.array(found["x"].tolist()).reshape(len(found), -1), found["y"].to_numpy(), counts=(sizes.get(0, 0), sizes.get(1, 0)))
+    return fit(np.array(found["x"].tolist()).reshape(len(found), len(FEATURES)), found["y"].to_numpy(dtype=int), counts=(sizes.get(0, 0), sizes.get(1, 0)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5, model: Discriminant | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
