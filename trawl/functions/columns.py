@@ -78,7 +78,7 @@ def snippet(content: Column, keyword: str, context: int = 60) -> Column:
     n = F.length(content)
     first, last = F.greatest(found - context, F.lit(1)), F.least(found + len(keyword) - 1 + context, n)
     head, tail = F.substring(content, F.lit(1), first - 1), F.substring(content, last + 1, n)
-    back = F.length(F.regexp_extract(head, r"(?U)([^\s]*)\z", 1))
+    back = F.length(F.regexp_extract(F.reverse(head), r"(?U)^([^\s]*)", 1))  # reversed, so that the match is anchored
     ahead = F.length(F.regexp_extract(tail, r"(?U)^([^\s]*)", 1))
     first = F.when(back < F.length(head), first - back).otherwise(first)
     last = F.when(ahead < F.length(tail), last + ahead).otherwise(last)
