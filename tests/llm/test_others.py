@@ -1,4 +1,7 @@
 import collections
+import itertools
+import random
+import re
 
 import pytest
 from hypothesis import given
@@ -93,6 +96,16 @@ def test_license_bounds_are_exact(words):
     assert best < license_scan.DICE or known.search(text)
 
 
+def test_license_units_of_any_shape():
+    """Signs between words, whatever their number, and bigrams that repeat don't hide a licence."""
+    known = license_scan.Templates(license_scan.TEMPLATES, license_scan.DICE)
+    for text in ("Released_under-the.MIT/License", "Released under the MIT License. " + "-" * 9000, "Released\tunder\tthe\tMIT\tLicense"):
+        assert known.search(text) and known.matches(text) == {"MIT": (1.0, 0, 1)}
+    repeats = license_scan.Templates({"x": ("one two " * 6 + "three four",)}, license_scan.DICE)
+    text = "one two " * 6 + "five six"
+    assert repeats.search(text) == bool(repeats.matches(text)) is True
+
+
 ROWS = [
     ("c", 0, "user", "How do I sort?\nSecond line", 1),
     ("c", 1, "assistant", "> How do I sort?\nUse sorted().", 2),
@@ -117,6 +130,48 @@ def test_quotes(spark):
     assert got["d", 0]["reply_to"] is None and got["c", 4]["text"] is None and got["c", 0]["thread"] == 0
 
 
+def brute_quotes(rows):
+    """(reply_to, n_quotes, n_linked) by (conv, turn), from plain loops."""
+    normal = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()
+    mark = re.compile(r"^((?:[ \t]{0,3}>)+)[ \t]?")
+    out = {}
+    for conv, turn, text in rows:
+        lines = [(m.group(1).count(">"), x[m.end() :]) if (m := mark.match(x)) else (0, x) for x in text.split("\n")]
+        runs = [(level, normal("\n".join(b for _, b in own))) for level, own in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x[0]))]
+        origins, quotes = [], [(level, body) for level, body in runs if level and body]
+        for level, body in quotes:
+            for c, t, other in sorted(r for r in rows if r[0] == conv):
+                plain = "".join(x for x in other.splitlines(True) if not re.match(r"[ \t]{0,3}>", x))
+                if body in {normal(plain), *map(normal, re.split(r"\n\s*\n", plain)), *map(normal, plain.split("\n"))}:
+                    origins += [(level, t)] if t < turn else []
+                    break
+        out[conv, turn] = (max((t for level, t in origins if level == 1), default=None), len(quotes), len(origins))
+    return out
+
+
+def test_quotes_in_a_hot_conversation(spark):
+    """One conversation has most rows, one message most replies, and one text very many passages."""
+    draw = random.Random(7)
+    lines = [f"line {i} of words" for i in range(25)]
+    rows = []
+    for conv, n in (("hot", 100), *((f"c{i}", 6) for i in range(20))):
+        for turn in range(n):
+            own = draw.sample(lines, 2)
+            quote = [">" * draw.randint(1, 2) + " " + draw.choice(lines) for _ in range(draw.randint(0, 2))] if turn % 3 else ["> " + lines[0]] * (turn > 0)
+            rows.append((conv, turn, "\n".join([*quote, *own] if turn else [lines[0], "", *own])))
+    rows.append(("long", 0, "start"))
+    rows.append(("long", 1, "\n".join(f"{'>' * (1 + i % 2)} passage {i}" for i in range(20_000)) + "\n> start"))
+    got = {(r["conv_id"], r["turn"]): r for r in chat_format.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id string, turn long, role string, text string")).collect()}
+    want = brute_quotes([r for r in rows if r[0] != "long"])
+    assert {k: (r["reply_to"], r["n_quotes"], r["n_linked"]) for k, r in got.items() if k[0] != "long"} == want
+    for (conv, turn), r in got.items():
+        head, depth = turn, 0
+        while (up := got[conv, head]["reply_to"]) is not None:
+            head, depth = up, depth + 1
+        assert (r["thread"], r["depth"]) == (head, depth)
+    assert (got["long", 1]["n_quotes"], got["long", 1]["n_linked"], got["long", 1]["reply_to"]) == (20_001, 1, 0)
+
+
 def test_plain_conversations(spark):
     messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = chat_format.link_quotes(messages)

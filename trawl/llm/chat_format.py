@@ -7,9 +7,10 @@ quoted at level 1 is the one replied to; threads follow replies to their first m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.llm import bitmaps
 from trawl.llm.skew import join_by_size
 from trawl.llm.store import materialise
 
@@ -31,34 +32,50 @@ def _own(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^[ \t]{0,3}>[^\n]*(?:\n|\z)", "")
 
 
-def _passages(text: Column) -> Column:
-    """array<struct<level, body>>: runs of lines with the same quote level, in order."""
-    kind = "array<struct<level:int,body:string>>"
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARK, "").alias("body")),
-    )
+def _passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, at, level, body): runs of lines with the same quote level, by the first line's place.
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == line["level"]), joined.cast(kind)).otherwise(F.concat(done, F.array(line)).cast(kind))
-
-    return F.aggregate(lines, F.array().cast(kind), add)
+    Lines of a level that follow each other have the same difference between place and rank, so a passage is a group.
+    """
+    messages = messages.select("conv_id", "turn", "text", F.sha2("text", 256).alias("source")).dropDuplicates(["conv_id", "turn", "source"])
+    lines = messages.select("conv_id", "turn", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", MARK, 1), "[^>]", ""))).filter("level > 0")
+    rank = F.row_number().over(Window.partitionBy("conv_id", "turn", "source", "level").orderBy("at"))
+    lines = lines.select("conv_id", "turn", "source", "level", "at", (F.col("at") - rank).alias("run"), F.regexp_replace("line", MARK, "").alias("body"))
+    runs = lines.groupBy("conv_id", "turn", "source", "level", "run").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("lines"))
+    return runs.select("conv_id", "turn", "at", "level", F.array_join("lines.body", "\n").alias("body"))
 
 
 def _threads(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, thread, depth) for (conv_id, turn, reply_to): each round jumps twice as far."""
-    state = replies.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"))
+    """(conv_id, turn, thread, depth) for (conv_id, turn, reply_to): each round jumps twice as far.
+
+    A message with very many replies is one row of the broadcast side, so its replies stay where they are.
+    """
+    keys = ["conv_id", "thread"]
+    state = materialise(replies.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")), "threads")
+    total = state.count()
     for _ in range(ROUNDS):
         far = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("far"), F.col("depth").alias("more"))
-        step = materialise(state.join(far, ["conv_id", "thread"], "left").select("conv_id", "turn", F.coalesce("far", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("far").isNotNull().alias("moved")), "threads")
-        state = step.drop("moved")
-        if step.filter("moved").isEmpty():
+        heads = materialise(state.groupBy(*keys).agg(F.count("*").alias("_n")).join(far, keys, "left"), "heads")
+        if heads.filter("far is not null").isEmpty():
             return state
+        step = join_by_size(state, heads, keys, "_n", total)
+        state = materialise(step.select("conv_id", "turn", F.coalesce("far", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
     raise RuntimeError("threads did not settle")
 
 
+def _marked(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows with _maybe, false only if keys doesn't have their ``names``; without a shuffle of rows."""
+    keys = keys.select(*names).distinct()
+    bits = bitmaps.bits_for(keys.count())
+    pages = materialise(bitmaps.build(keys, F.xxhash64(*names), bits), "filter")
+    return bitmaps.probe(rows, F.xxhash64(*names), pages, bits)
+
+
+def _among(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    return _marked(rows, keys, names).filter("_maybe").drop("_maybe")
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, n_linked), a row for each row of messages.
 
@@ -72,26 +89,29 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
     quoting = rows.filter(F.col("text").rlike(r"(?m)^[ \t]{0,3}>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = quoting.select("conv_id", "turn", F.posexplode(_passages(F.col("text"))).alias("at", "p")).filter("p.level > 0")
-    quotes = quotes.select("conv_id", "turn", "at", F.col("p.level").alias("level"), _normal(F.col("p.body")).alias("body")).filter("body <> ''")
+    quotes = _passages(quoting).withColumn("body", _normal(F.col("body"))).filter("body <> ''")
     quotes = materialise(quotes.select("conv_id", "turn", "at", "level", F.sha2("body", 256).alias("key")).distinct(), "quotes")
     plain = F.when(F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), _own(F.col("text"))).otherwise(F.col("text"))
     bare = rows.select("conv_id", "turn", "role", plain.alias("text"))
     total = quotes.count()
+    none = {"reply_to": F.lit(None).cast("long"), "thread": F.col("turn"), **{c: F.lit(0).cast("long") for c in ("depth", "n_quotes", "n_linked")}}
     if not total:
-        return bare.select("*", F.lit(None).cast("long").alias("reply_to"), F.col("turn").alias("thread"), *[F.lit(0).cast("long").alias(c) for c in ("depth", "n_quotes", "n_linked")])
+        return bare.withColumns(none)
 
     asked = materialise(quotes.groupBy("conv_id", "key").agg(F.count("*").alias("_n")), "asked")
-    text = F.col("text")
-    forms = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n")))
-    own = bare.filter("text is not null and turn is not null").join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
-    own = own.select("conv_id", "turn", F.explode(F.transform(forms, _key)).alias("key"))
-    first = own.join(asked, ["conv_id", "key"]).groupBy("conv_id", "key", "_n").agg(F.min("turn").alias("origin"))
+    forms = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n")))
+    # filters instead of joins with the messages: a conversation may hold a large share of them
+    own = _among(bare.filter("conv_id is not null and turn is not null and text is not null"), asked, ["conv_id"])
+    own = _among(own.select("conv_id", "turn", F.explode(F.transform(forms, _key)).alias("key")), asked, ["conv_id", "key"])
+    first = own.groupBy("conv_id", "key").agg(F.min("turn").alias("origin")).join(asked, ["conv_id", "key"])
     found = join_by_size(quotes, first, ["conv_id", "key"], "_n", total).filter("origin < turn")
     found = materialise(found.select("conv_id", "turn", "at", "level", "origin"), "found")
     counts = quotes.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"))
     linked = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("reply_to"))
     threads = _threads(linked.filter("reply_to is not null").select("conv_id", "turn", "reply_to"))
-    out = bare.join(counts, ["conv_id", "turn"], "left").join(linked, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
+    answers = materialise(counts.join(linked, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left"), "answers")
+    marked = _marked(bare, answers, ["conv_id", "turn"])
+    out = marked.filter("_maybe").drop("_maybe").join(answers, ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
-    return out.select("conv_id", "turn", "role", "text", "reply_to", F.coalesce("thread", "turn").alias("thread"), *[F.coalesce(c, zero).alias(c) for c in ("depth", "n_quotes", "n_linked")])
+    out = out.select("conv_id", "turn", "role", "text", "reply_to", F.coalesce("thread", "turn").alias("thread"), *[F.coalesce(c, zero).alias(c) for c in ("depth", "n_quotes", "n_linked")])
+    return marked.filter(~F.col("_maybe")).drop("_maybe").withColumns(none).unionByName(out)
