@@ -7,7 +7,6 @@ searched in the whole text first, which loses nothing.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -77,11 +76,15 @@ class Templates:
     def __init__(self, texts: dict[str, tuple[str, ...]], least: float):
         self.least = least
         self.known = [(name, bigrams(t)) for name, own in texts.items() for t in own]
-        self.sizes = [sum(b.values()) for _, b in self.known]
+        self.sizes = [b.total() for _, b in self.known]
         self.anchors = set()
         for _, b in self.known:
-            need = math.floor(len(b) * (2 - 2 * least) / (2 - least)) + 1
-            self.anchors.update(f" {' '.join(dict.fromkeys(g))} " for g in sorted(b, key=lambda g: (-len(" ".join(g)), g))[:need])
+            missing = 0  # bigrams, repeats included, of a text that has none of the anchors so far
+            for g in sorted(b, key=lambda g: (-len(" ".join(g)), g)):
+                if missing > b.total() * (2 - 2 * least) / (2 - least) + 1e-9:
+                    break
+                self.anchors.add(f" {' '.join(dict.fromkeys(g))} ")
+                missing += b[g]
 
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "automaton"}
@@ -97,14 +100,15 @@ class Templates:
     def matches(self, text: str) -> dict[str, tuple[float, int, int]]:
         """By licence: the best similarity, the first line that has it, and the number of lines with the licence."""
         found: dict[str, dict[int, float]] = {}
-        low, high = min(self.sizes) * self.least / (2 - self.least), max(self.sizes) * (2 - self.least) / self.least
+        low, high = min(self.sizes) * self.least / (2 - self.least) - 1e-9, max(self.sizes) * (2 - self.least) / self.least + 1e-9
         for line, unit in units(text):
-            if not low <= unit.count(" ") + 2 or len(unit) > 64 * high:
+            words = normalise(unit).count(" ") + 1
+            if not low <= max(words - 1, 1) <= high:
                 continue
             own = bigrams(unit)
-            n = sum(own.values())
+            n = own.total()
             for (name, b), size in zip(self.known, self.sizes, strict=True):
-                if min(n, size) >= max(n, size) * self.least / (2 - self.least) and (d := dice(own, b)) >= self.least:
+                if min(n, size) >= max(n, size) * self.least / (2 - self.least) - 1e-9 and (d := dice(own, b)) >= self.least:
                     lines = found.setdefault(name, {})
                     lines[line] = max(lines.get(line, 0.0), d)
         return {name: (max(lines.values()), min(k for k, v in lines.items() if v == max(lines.values())), len(lines)) for name, lines in found.items()}
