@@ -46,3 +46,6 @@ def test_lexicon():
     lexicon = toxicity.Lexicon({toxicity.folded("trash"): 2.0, " idio": 3.0})
     assert lexicon.hits(toxicity.folded("trash, idiots and idiocy")) == [2.0, 3.0, 3.0]
     assert lexicon.hits(toxicity.folded("a trash can and trashy")) == []
+    nested = toxicity.Lexicon({" trash ": 1.0, " can ": 1.0, " bin ": 1.0}, ("trash can", "can of worms"))
+    assert nested.hits(toxicity.folded("trash bin trash can of worms can bin")) == [1.0, 1.0, 1.0, 1.0]
+    assert nested.hits(toxicity.folded("trash can " * 50_000)) == []

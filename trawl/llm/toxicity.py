@@ -7,9 +7,11 @@ exception phrase don't count. A text's score is the logistic of its weighted hit
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -96,7 +98,12 @@ class Lexicon:
                 free.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        return [w for start, w in found.items() if not any(a <= start < b for a, b in free)]
+        if not free:
+            return list(found.values())
+        # phrases in the order of their starts, with the furthest end so far: one search a hit
+        free.sort()
+        starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+        return [w for start, w in found.items() if not (at := bisect_right(starts, start)) or reach[at - 1] <= start]
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
         rows = []
