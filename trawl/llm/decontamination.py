@@ -108,12 +108,18 @@ class Items:
             if size_here < similarity * size:
                 continue
             last = len(values) - size_here
-            starts = np.unique(np.concatenate([np.arange(max(0, p - size_here + 1), min(p, last) + 1) for i in items for p in near[i]]))
+            # the union of the starts around each hit, without their overlaps: as many numbers as there are windows
+            p = np.unique(np.concatenate([near[i] for i in items]))
+            low, high = np.maximum(0, p - size_here + 1), np.minimum(p, last)
+            low[1:] = np.maximum(low[1:], high[:-1] + 1)
+            n = np.maximum(high - low + 1, 0)
+            starts = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for c in range(0, len(starts), CHUNK):
                 own = starts[c : c + CHUNK]
                 # far starts in a chunk would span a long text; each run of near starts is summed on its own
                 for run in np.split(own, np.flatnonzero(np.diff(own) > 4 * size_here) + 1):
-                    prints = fingerprints(values, self.weigh(values[run[0] : run[-1] + size_here]) if run[0] == 0 else self._shifted(values, run, size_here), run, size_here)
+                    span = values[run[0] : run[-1] + size_here]
+                    prints = fingerprints(span, self.weigh(span), run - run[0], size_here)
                     blocks = _distances(prints, self.prints[items])
                     close = (blocks.min(axis=2) <= RADIUS // BLOCKS) & (blocks.sum(axis=2, dtype=np.int64) <= RADIUS)
                     for w, k in np.argwhere(close):
@@ -123,12 +129,6 @@ class Items:
                             best[i] = (found, s, self.sizes[i])
         return [(self.ids[i], round(f, 6), s, n) for i, (f, s, n) in sorted(best.items())]
 
-    def _shifted(self, values: np.ndarray, run: np.ndarray, size: int) -> np.ndarray:
-        """Weights in place, for the span of the run alone."""
-        out = np.zeros(run[-1] + size)
-        out[run[0] :] = self.weigh(values[run[0] : run[-1] + size])
-        return out
-
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
     """The benchmark in blocks of bounded size, in the order of ids; each is read on its own."""
