@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -74,6 +76,25 @@ def test_decontamination_edges(spark, edges, empty, benchmark, monkeypatch):
     got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, odd).collect())
     assert got == collections.Counter([(1, 1), (1, 5), (2, 1), (2, 5), (None, 1), (None, 5), (4, 4)])
     assert decontamination.contaminated(docs, odd.limit(0)).count() == 0
+    accents = spark.createDataFrame([(1, "été ñandú über straße été où naïve")], "item_id long, text string")
+    capitals = spark.createDataFrame([(1, "x ÉTÉ ÑANDÚ ÜBER STRASSE ÉTÉ OÙ NAÏVE y")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in decontamination.contaminated(capitals, accents).collect()] == [(1, 1, 1)]
+
+
+def test_window_starts_of_a_long_text():
+    """The best window of a text that repeats parts of an item, against similarities of all windows."""
+    rng = np.random.default_rng(7)
+    item = [f"w{i}" for i in range(30)]
+    words = []
+    for _ in range(60):
+        a = int(rng.integers(0, 26))
+        words += [f"o{i}" for i in rng.integers(0, 1000, int(rng.integers(0, 40)))] + item[a : a + int(rng.integers(5, 31))]
+    words += ["between", *item[:14], "other", *item[15:], "after"] + item
+    items = decontamination.Items([1], [" ".join(item)])
+    values, _ = decontamination.kernel.text_shingles(pa.array([" ".join(words)]), 5)
+    sims = [items.similarity(values[s : s + 26], 0) for s in range(len(values) - 25)]
+    ((_, best, start, _),) = items.matches(values, items.hits(values), 0.8)
+    assert best == round(max(sims), 6) and start == int(np.argmax(sims))
 
 
 def test_licenses(spark, docs, edges, empty):

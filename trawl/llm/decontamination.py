@@ -46,12 +46,16 @@ def fingerprints(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, si
     return (bits.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def case_folded(column: pa.Array) -> pa.Array:
+    """Texts by Unicode case folding, as a benchmark's passage may stand in capitals; null stays null. Words stay words."""
+    return pa.array([t if t is None else t.casefold() for t in column.to_pylist()], pa.string())
+
+
 class Items:
     """A block of benchmark items: shingle sets with weights, and fingerprints by number of words."""
 
     def __init__(self, ids: list[int], texts: list[str | None], counts: dict[int, int] | None = None, total: int = 0):
-        data, offsets = kernel.buffers(pa.array(texts, pa.string()))
-        data = kernel.LOWER[data]
+        data, offsets = kernel.buffers(case_folded(pa.array(texts, pa.string())))
         starts, ends, bounds = kernel.word_spans(data, offsets)
         values, at = kernel.shingles(kernel.word_hashes(data, starts, ends), bounds, WORDS)
         self.ids, self.sets, self.sizes = [], [], []
@@ -147,7 +151,7 @@ def _matcher(items: Items, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.pieces(batch, "text"):
-                values, at = kernel.text_shingles(part.column(1), WORDS)
+                values, at = kernel.text_shingles(case_folded(part.column(1)), WORDS)
                 hits = items.hits(values)
                 owner = np.searchsorted(at, hits, side="right") - 1
                 rows = []
@@ -163,8 +167,8 @@ def _matcher(items: Items, similarity: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of each item that a document contains.
 
-    Words are runs of bytes other than space and 0x09-0x0D after lower-casing A-Z; shingles have five words, a shorter
-    text its whole sequence. Null and empty texts and items match nothing; items without id don't count; a null doc_id
+    Words are runs of bytes other than space and 0x09-0x0D after Unicode case folding; shingles have five words, a
+    shorter text its whole sequence. Null and empty texts and items match nothing; items without id don't count; a null doc_id
     stays null. Repeated rows are reported as often; ties go to the first window. Empty tables give no rows.
     """
     bounded_batches(docs.sparkSession)
@@ -187,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             for batch in batches:
                 renamed = batch.rename_columns([f"c{i}" for i in range(len(names))])
                 for part in kernel.pieces(renamed, f"c{at}"):
-                    values, bounds = kernel.text_shingles(part.column(at), WORDS)
+                    values, bounds = kernel.text_shingles(case_folded(part.column(at)), WORDS)
                     hits = items.hits(values)
                     owner = np.searchsorted(bounds, hits, side="right") - 1
                     clean = np.ones(part.num_rows, bool)
