@@ -23,6 +23,15 @@ def test_held_out_accuracy(spark, score, label, folds, part, least):
     assert np.mean(good[:, None] > bad[None, :]) + 0.5 * np.mean(good[:, None] == bad[None, :]) > least
 
 
+def test_a_sample_keeps_the_share_of_toxic_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.toPandas()
+    chosen = [i for i in known.doc_id if held(i, 4, 2)]
+    texts = docs.filter(docs.doc_id.isin(chosen)).toPandas().merge(known, on="doc_id")
+    even, odd = (toxicity.train(docs, labels, per_class=n).score(texts.text) for n in (400, 4000))
+    assert abs(even.mean() - texts.toxic.mean()) < 0.03 and abs(even.mean() - odd.mean()) < 0.03
+
+
 @pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
 def test_edges(edges, empty, labels, score):
     rows = score(edges, labels).collect()

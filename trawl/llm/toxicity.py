@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import kernel
 from trawl.llm.labelled import fold as crc_fold
-from trawl.llm.labelled import sample
+from trawl.llm.labelled import sample, training_rows
 from trawl.llm.store import bounded_batches
 
 #: Rows of each class that a fit takes at most, and terms that a lexicon has at most.
@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     """Learns from at most ``per_class`` labelled rows of each class outside the held-out fold.
 
     Term counts are summed on the executors; at most MOST_TERMS terms and three numbers a sampled row reach the driver.
+    The intercept is moved from the sample's odds of the classes to those of all training rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -185,7 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
 
     found = rows.mapInArrow(features, "y int, x array<double>").limit(4 * per_class).toPandas()
     x, y = np.array(found["x"].tolist()).reshape(-1, 3), found["y"].to_numpy(dtype=float)
-    return Model(lexicon, _logistic(x, y) if p and n else np.array([-3.0, 1.0, 0.5]))
+    if not (p and n):
+        return Model(lexicon, np.array([-3.0, 1.0, 0.5]))
+    known = dict(training_rows(labels, "toxic", folds, held_out).groupBy("y").count().collect())
+    return Model(lexicon, _logistic(x, y) + np.array([np.log(known[1] / known[0]) - np.log(p / n), 0.0, 0.0]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.3, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
