@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. run() writes each stage's rows in the shared folder and reads them again, so no stage is computed twice
-and a lost executor costs tasks of one stage only.
+and a lost executor costs tasks of one stage only. Other tables that a stage wrote are deleted after that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from trawl.llm.exact_dedup import drop_exact_duplicates
 from trawl.llm.near_dedup import drop_near_duplicates
 from trawl.llm.packing import pack
 from trawl.llm.quality import keep_quality
-from trawl.llm.store import materialise
+from trawl.llm.store import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,5 +1,6 @@
 import collections
 import itertools
+import pathlib
 import random
 import re
 
@@ -217,6 +218,18 @@ def test_pipeline(spark, docs, benchmark):
     assert {r["doc_id"] for r in run.select("doc_id").distinct().collect()} == {r["doc_id"] for r in left.collect()}
 
 
+def test_pipeline_leaves_stages_only(spark):
+    import corpus_pipeline
+    from trawl.llm.store import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"), "trawl")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert left == ["packed", "stage-decontamination", "stage-exact_dedup", "stage-near_dedup", "stage-quality"]
+    assert rows.count() == rows.select("doc_id", "start").distinct().count() > 0
+
+
 def test_entry_registers_every_operator():
     import __spark_entry__
 

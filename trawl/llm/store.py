@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Arrow batches are bounded by rows and by bytes, so a run of very long texts can't fill a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
+#: Folders that this thread has written.
+_own = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,9 +30,31 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def written(path: str) -> str:
+    """Notes a folder, to be deleted by settle() if it is written while that runs."""
+    _own.paths = [*getattr(_own, "paths", []), path]
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it again. Unlike a cache it survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trawl/{name}-{uuid.uuid4().hex}"
+    path = written(f"{shared_folder(spark)}/trawl/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result, written; then the tables that make wrote on its way are deleted, as nothing refers to them."""
+    before = getattr(_own, "paths", [])
+    _own.paths = []
+    try:
+        out = materialise(make(), name)
+        *gone, kept = _own.paths
+        before = [*before, kept]
+    finally:
+        _own.paths = before
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
