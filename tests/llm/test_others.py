@@ -38,6 +38,24 @@ def test_hot_group(spark):
     assert len({r["shard"] for r in got if r["doc_id"] % 3 == 0}) <= 4
 
 
+@pytest.mark.parametrize("sizes", [[2] * 400, [2] * 360 + [1] * 80, [3] * 100 + [5] * 60 + [200, 200, 150]])
+def test_groups_of_a_table_of_copies(spark, sizes):
+    """With few or no single rows groups are kept whole by exchanges; fewer than the shards stay cut."""
+    rows = [(i, f"text {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    random.Random(1).shuffle(rows)
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    assert len(got) == len(rows)
+    counts = collections.Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 8
+    texts, homes = dict(rows), collections.defaultdict(set)
+    for r in got:
+        homes[texts[r["doc_id"]]].add(r["shard"])
+    cut = [len(h) for h in homes.values() if len(h) > 1]
+    assert len(cut) < 8 and max(cut, default=0) <= 4
+    if 3 not in sizes:
+        assert not cut
+
+
 @given(st.dictionaries(st.tuples(st.integers(0, 3), st.integers(0, 3)), st.integers(0, 20)), st.dictionaries(st.integers(0, 3), st.integers(0, 10)))
 def test_quotas_balance(asked, free):
     moves, back = sharding.quotas(asked, free, 4)

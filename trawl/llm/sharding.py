@@ -2,16 +2,18 @@
 
 Documents start in shards of equal numbers of rows. In each round the links of a document vote with their shards: it
 asks to move where more of its neighbours are. Requests are granted under quotas that keep every shard's number of
-rows: a move into a shard is paid for by a move out of it, of another request or of a document without links. Rounds go
-on until none helps. The shard of a document without links is free, so it costs nothing to move it.
+rows: a move into a shard is paid for by a move out of it, of another request or of a document without links. Rounds
+that ask for shards with such documents and rounds of exchanges between linked ones take turns. Rounds go
+on until none helps. The shard of a document without links is free, so it costs nothing to move it. Groups that are
+still cut then are dealt one after the other into the rows that they hold, so fewer than there are shards stay cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.ranking import gapless
+from trawl.llm.ranking import PER_BUCKET, gapless
 from trawl.llm.skew import join_by_size
 from trawl.llm.store import materialise
 
@@ -49,6 +51,92 @@ def quotas(asked: dict[tuple[int, int], int], free: dict[int, int], shards: int)
     return {k: v for k, v in flow.items() if v}, out
 
 
+def _round(state: DataFrame, votes: DataFrame, held: dict[int, int], free: dict[int, int], total: int, turn: int, exchange: bool) -> DataFrame | None:
+    """state after the moves of a round, None if there are none; votes are those of groups in several shards.
+
+    Rows ask for the shard in which most of their group is, ties by a hash that differs by group and turn. Without
+    exchange only shards with unlinked rows are asked for, with it all that the group doesn't fill alone. A group asks
+    for one shard, in which it has at least as many rows as where they come from, so each round with moves raises the
+    sum of the squares of votes.
+    """
+    sizes = F.create_map(*[F.lit(x).cast("long") for s, n in held.items() for x in (s, n)])
+    room = F.col("votes") < sizes[F.col("shard").cast("long")] if exchange else F.col("shard").isin([s for s, n in free.items() if n])
+    rank = F.struct("votes", F.xxhash64("grp", "shard", F.lit(turn)).alias("tie"), "shard")
+    best = votes.filter(room).groupBy("grp").agg(F.max(rank).alias("best"))
+    wish = votes.join(best, "grp").select("grp", "shard", "votes", F.col("best.shard").alias("to"), F.col("best.votes").alias("there"))
+    wish = materialise(wish.filter("there >= votes and to <> shard").drop("there"), "wishes")
+    asked = {(r["shard"], r["to"]): r["n"] for r in wish.groupBy("shard", "to").agg(F.sum("votes").alias("n")).collect()}
+    moves, back = quotas(asked, free, len(held))
+    if not moves:
+        return None
+    # all who ask and the free documents of shards that give some back are numbered by (from, to); the first go
+    asking = join_by_size(state.filter("linked"), wish, ["grp", "shard"], "votes", total).drop("votes")
+    giving = state.filter(~F.col("linked") & F.col("shard").isin(sorted({a for a, _ in back}))).withColumn("to", F.lit(-1))
+    numbered = gapless(asking.unionByName(giving.select(asking.columns)), ["shard", "to"], F.col("row"), [F.col("grp"), F.col("row")], total, "at")
+    granted = [(a, b, 0, n, b) for (a, b), n in moves.items()]
+    start: dict[int, int] = {}
+    for (a, b), n in back.items():
+        low = start.get(a, 0)
+        granted.append((a, -1, low, low + n, b))
+        start[a] = low + n
+    granted = state.sparkSession.createDataFrame(granted, "shard int, to int, low long, high long, target int")
+    moved = materialise(numbered.join(F.broadcast(granted), ["shard", "to"]).filter("at >= low and at < high").select("row", "target"), "moved")
+    return materialise(state.join(moved, "row", "left").select("row", "grp", F.coalesce("target", "shard").alias("shard"), "linked"), "shards")
+
+
+def _deal(state: DataFrame, votes: DataFrame, total: int) -> DataFrame:
+    """state with the groups of votes, which are in several shards, dealt one after the other into the rows they hold.
+
+    Large groups come first. Only groups across the end of a shard stay cut, fewer than there are shards. If that is no
+    gain, state is returned.
+    """
+    groups = votes.groupBy("grp").agg(F.sum("votes").alias("size"), F.count("*").alias("pieces"))
+    # offsets as in gapless(), by size class and hashed bucket
+    buckets = max(1, -(-total // PER_BUCKET)) * 4
+    groups = groups.withColumn("_class", -F.floor(F.log2("size"))).withColumn("_bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
+    groups = materialise(groups, "cut")
+    offsets = groups.groupBy("_class", "_bucket").agg(F.sum("size").alias("_n"))
+    offsets = offsets.withColumn("_before", F.sum("_n").over(Window.orderBy("_class", "_bucket")) - F.col("_n")).drop("_n")
+    within = Window.partitionBy("_class", "_bucket").orderBy(F.desc("size"), "grp")
+    groups = groups.withColumn("_in", F.sum("size").over(within) - F.col("size")).join(F.broadcast(offsets), ["_class", "_bucket"])
+    groups = groups.select("grp", "size", "pieces", (F.col("_before") + F.col("_in")).alias("start"))
+    spans, low = [], 0
+    for r in sorted(votes.groupBy("shard").agg(F.sum("votes").alias("n")).collect(), key=lambda r: (-r["n"], r["shard"])):
+        spans.append((low, low + r["n"], r["shard"]))
+        low += r["n"]
+    spans = F.broadcast(state.sparkSession.createDataFrame(spans, "low long, high long, target int"))
+    # a row for each group and shard it gets rows in: [first, last) of the group's rows
+    parts = groups.join(spans, (F.col("start") < F.col("high")) & (F.col("start") + F.col("size") > F.col("low")))
+    first, last = F.greatest(F.col("low") - F.col("start"), F.lit(0)), F.least(F.col("high") - F.col("start"), F.col("size"))
+    parts = materialise(parts.select("grp", "size", first.alias("first"), last.alias("last"), "target"), "parts")
+    if parts.count() >= groups.agg(F.sum("pieces")).first()[0]:
+        return state
+    whole, across = parts.filter("last - first = size"), parts.filter("last - first < size")
+    rows = state.filter("linked").select("row", "grp")
+    moved = join_by_size(rows, whole.select("grp", "size", "target"), ["grp"], "size", total).select("row", "target")
+    split = gapless(rows.join(F.broadcast(across.select("grp").distinct()), "grp"), ["grp"], F.col("row"), [F.col("row")], total, "at")
+    split = split.join(F.broadcast(across), "grp").filter("at >= first and at < last").select("row", "target")
+    moved = materialise(moved.unionByName(split), "moved")
+    return materialise(state.join(moved, "row", "left").select("row", "grp", F.coalesce("target", "shard").alias("shard"), "linked"), "shards")
+
+
+def _rounds(state: DataFrame, held: dict[int, int], total: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """state after rounds, until one of each kind grants nothing, and the votes of groups still cut, None without any."""
+    idle, votes = 0, None
+    for turn in range(rounds + 1):
+        votes = state.filter("linked").groupBy("grp", "shard").agg(F.count("*").alias("votes"))
+        votes = votes.withColumn("pieces", F.count("*").over(Window.partitionBy("grp"))).filter("pieces > 1").drop("pieces")
+        votes = materialise(votes, "votes")
+        if votes.isEmpty():
+            return state, None
+        if turn == rounds or idle == 2:
+            break
+        free = dict(state.filter("not linked").groupBy("shard").count().collect())
+        after = _round(state, votes, held, free, total, turn, turn % 2 == 1 or not free)
+        state, idle = (state, idle + 1) if after is None else (after, 0)
+    return state, votes
+
+
 def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """(row, grp, shard) for members (row, grp): row is unique, rows of equal grp are linked.
 
@@ -63,33 +151,12 @@ def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFram
     linked = join_by_size(placed, sizes, ["grp"], "size", total).withColumn("linked", F.lit(True)).drop("size")
     alone = placed.join(sizes.select("grp"), "grp", "left_anti").withColumn("linked", F.lit(False))
     state = materialise(linked.unionByName(alone.select(linked.columns)), "shards")
-    for _ in range(rounds):
-        free = dict(state.filter("not linked").groupBy("shard").count().collect())
-        votes = state.filter("linked").groupBy("grp", "shard").agg(F.count("*").alias("votes"))
-        room = F.col("shard").isin([s for s, n in free.items() if n]) if free else F.lit(False)
-        best = votes.filter(room).groupBy("grp").agg(F.max(F.struct("votes", (-F.col("shard")).alias("minus"))).alias("best"))
-        wish = votes.join(best, "grp").select("grp", "shard", F.col("votes"), (-F.col("best.minus")).alias("to"), F.col("best.votes").alias("there"))
-        better = (F.col("there") > F.col("votes")) | ((F.col("there") == F.col("votes")) & (F.col("to") < F.col("shard")))
-        wish = materialise(wish.filter(better & (F.col("to") != F.col("shard"))), "wishes")
-        asked = {(r["shard"], r["to"]): r["n"] for r in wish.groupBy("shard", "to").agg(F.sum("votes").alias("n")).collect()}
-        moves, back = quotas(asked, free, shards)
-        if not moves:
-            return state
-        # all who ask and the free documents of shards that give some back are numbered by (from, to); the first go
-        asking = join_by_size(state.filter("linked"), wish.select("grp", "shard", "to", "votes"), ["grp", "shard"], "votes", total).drop("votes")
-        giving = state.filter(~F.col("linked") & F.col("shard").isin(sorted({a for a, _ in back}))).withColumn("to", F.lit(-1))
-        numbered = gapless(asking.unionByName(giving.select(asking.columns)), ["shard", "to"], F.col("row"), [F.col("grp"), F.col("row")], total, "at")
-        target = F.col("shard")
-        for (a, b), n in moves.items():
-            target = F.when((F.col("shard") == a) & (F.col("to") == b) & (F.col("at") < n), F.lit(b)).otherwise(target)
-        start: dict[int, int] = {}
-        for (a, b), n in back.items():
-            low = start.get(a, 0)
-            target = F.when((F.col("shard") == a) & (F.col("to") == -1) & (F.col("at") >= low) & (F.col("at") < low + n), F.lit(b)).otherwise(target)
-            start[a] = low + n
-        moved = materialise(numbered.withColumn("target", target).filter("target <> shard").select("row", F.col("target").cast("int")), "moved")
-        state = materialise(state.join(moved, "row", "left").select("row", "grp", F.coalesce("target", "shard").alias("shard"), "linked"), "shards")
-    return state
+    held = {s: total // shards + (s < total % shards) for s in range(shards)}
+    state, votes = _rounds(state, held, total, rounds)
+    if votes is None:
+        return state
+    # what is left finds no request against it; once dealt, unlinked rows may help again
+    return _rounds(_deal(state, votes, total), held, total, rounds)[0]
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
