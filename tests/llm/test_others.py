@@ -170,6 +170,26 @@ def test_quotes(spark):
     assert got["d", 0]["reply_to"] is None and got["c", 4]["text"] is None and got["c", 0]["thread"] == 0
 
 
+def test_quotes_of_parts(spark):
+    """Runs of lines within a paragraph, over paragraphs, and beside quoted lines of an interleaved reply."""
+    lines = [f"line {i} of it" for i in range(5)]
+    rows = [
+        ("p", 0, "\n".join(lines) + "\n\nsecond\nparagraph\n\nthird one"),
+        ("p", 1, f"> {lines[1]}\n> {lines[2].upper()}\nyes"),
+        ("p", 2, "> second\n> paragraph\n>\n> third one\nno"),
+        ("p", 3, f"> {lines[1]}\n> {lines[3]}\nnot a run"),
+        ("i", 0, "a\nb"),
+        ("i", 1, "> a\nr1a\nr1b\n> b\nr2a"),
+        ("i", 2, "> r1a\n> r1b\nI see"),
+        ("i", 3, "> r1a r1b\nI see"),
+        ("i", 4, "> r1a\n> r2a\nnot a run"),
+    ]
+    got = chat_format.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id string, turn long, role string, text string")).collect()
+    replies = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"]) for r in got}
+    assert replies == {("p", 0): (None, 0), ("p", 1): (0, 0), ("p", 2): (0, 0), ("p", 3): (None, 3), ("i", 0): (None, 0), ("i", 1): (0, 0), ("i", 2): (1, 0), ("i", 3): (1, 0), ("i", 4): (None, 4)}
+    assert next(r["text"] for r in got if (r["conv_id"], r["turn"]) == ("i", 1)) == "r1a\nr1b\nr2a"
+
+
 def brute_quotes(rows):
     """(reply_to, n_quotes, n_linked) by (conv, turn), from plain loops."""
     normal = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()

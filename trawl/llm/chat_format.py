@@ -1,7 +1,8 @@
 """Quotation linking of conversations, in DataFrame operations only.
 
 Lines that begin with quote signs are parsed into passages by level. Normalised quoted passages are hashed and joined
-to the first message of the conversation that has the passage as its own text, as a paragraph or as a line. The message
+to the first message of the conversation that has the passage as its own text, as a paragraph or as a run of whole
+lines; of runs only those are hashed that begin with a passage's first line and have as many lines. The message
 quoted at level 1 is the one replied to; threads follow replies to their first message.
 """
 
@@ -15,6 +16,7 @@ from trawl.llm.skew import join_by_size
 from trawl.llm.store import materialise
 
 MARK = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+QUOTED = r"(?m)^[ \t]{0,3}>[^\n]*(?:\n|\z)"
 ROUNDS = 64
 
 
@@ -29,7 +31,12 @@ def _key(text: Column) -> Column:
 
 def _own(text: Column) -> Column:
     """The text without quoted lines."""
-    return F.regexp_replace(text, r"(?m)^[ \t]{0,3}>[^\n]*(?:\n|\z)", "")
+    return F.regexp_replace(text, QUOTED, "")
+
+
+def _lines(text: Column) -> Column:
+    """The lines that aren't blank, each in normal form."""
+    return F.filter(F.transform(F.split(text, "\n"), _normal), lambda line: line != "")
 
 
 def _passages(messages: DataFrame) -> DataFrame:
@@ -76,11 +83,28 @@ def _among(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     return _marked(rows, keys, names).filter("_maybe").drop("_maybe")
 
 
+def _runs(messages: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, key): runs of lines of messages (conv_id, turn, text) that may be quoted passages of several lines."""
+    starts = quotes.filter("lines > 1").groupBy("conv_id", "first").agg(F.collect_set("lines").alias("counts"))
+    starts = materialise(starts, "starts")
+    message = ["conv_id", "turn", "source"]
+    messages = messages.select("conv_id", "turn", F.sha2("text", 256).alias("source"), _lines(F.col("text")).alias("own"))
+    lines = messages.select(*message, F.posexplode(F.transform("own", lambda line: F.sha2(line, 256))).alias("at", "first"))
+    lines = materialise(_among(lines, starts, ["conv_id", "first"]), "lines")
+    starts = starts.join(lines.groupBy("conv_id", "first").agg(F.count("*").alias("_n")), ["conv_id", "first"])
+    spans = join_by_size(lines, starts, ["conv_id", "first"], "_n", lines.count())
+    spans = spans.select(*message, F.explode("counts").alias("lines"), "at").groupBy(*message).agg(F.collect_set(F.struct("at", "lines")).alias("spans"))
+    spans = materialise(spans, "spans")
+    spans = _among(messages, spans, ["conv_id", "turn"]).join(spans, message)
+    keys = F.transform("spans", lambda s: F.sha2(F.array_join(F.slice("own", s["at"] + 1, s["lines"]), " "), 256))
+    return spans.select("conv_id", "turn", F.explode(keys).alias("key"))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, n_linked), a row for each row of messages.
 
     text is without quoted lines; reply_to is the turn replied to: of the messages quoted at level 1 the last, each
-    found as the first message with the passage, earlier than the quoting one. thread is the first turn of the chain
+    found as the first message with the passage, earlier than the quoting one; blank lines don't matter. thread is the first turn of the chain
     of replies and depth its length; in the order of (conv_id, thread, turn) replies follow what they answer. Messages
     that quote nothing, or nothing that is found, begin a thread at depth 0. n_quotes counts quoted passages that
     aren't blank, n_linked those that were found. A null text stays null; rows with a null conversation or turn are
@@ -89,8 +113,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
     quoting = rows.filter(F.col("text").rlike(r"(?m)^[ \t]{0,3}>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quotes = _passages(quoting).withColumn("body", _normal(F.col("body"))).filter("body <> ''")
-    quotes = materialise(quotes.select("conv_id", "turn", "at", "level", F.sha2("body", 256).alias("key")).distinct(), "quotes")
+    quotes = _passages(quoting).withColumn("lines", _lines(F.col("body"))).filter(F.size("lines") > 0)
+    key, first = F.sha2(F.array_join("lines", " "), 256), F.sha2(F.col("lines")[0], 256)
+    quotes = quotes.select("conv_id", "turn", "at", "level", key.alias("key"), first.alias("first"), F.size("lines").alias("lines"))
+    quotes = materialise(quotes.distinct(), "quotes")
     plain = F.when(F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), _own(F.col("text"))).otherwise(F.col("text"))
     bare = rows.select("conv_id", "turn", "role", plain.alias("text"))
     total = quotes.count()
@@ -99,10 +125,16 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         return bare.withColumns(none)
 
     asked = materialise(quotes.groupBy("conv_id", "key").agg(F.count("*").alias("_n")), "asked")
-    forms = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n")))
+    # lines before and after a quoted one are in different paragraphs, though the text without quoted lines joins them
+    apart = F.split(F.regexp_replace("whole", QUOTED, "\n"), r"\n\s*\n")
+    forms = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n\s*\n"), apart, F.split("text", "\n")))
     # filters instead of joins with the messages: a conversation may hold a large share of them
-    own = _among(bare.filter("conv_id is not null and turn is not null and text is not null"), asked, ["conv_id"])
-    own = _among(own.select("conv_id", "turn", F.explode(F.transform(forms, _key)).alias("key")), asked, ["conv_id", "key"])
+    own = rows.select("conv_id", "turn", plain.alias("text"), F.col("text").alias("whole"))
+    own = _among(own.filter("conv_id is not null and turn is not null and text is not null"), asked, ["conv_id"])
+    keys = own.select("conv_id", "turn", F.explode(F.transform(forms, _key)).alias("key"))
+    if not quotes.filter("lines > 1").isEmpty():
+        keys = keys.unionByName(_runs(own, quotes))
+    own = _among(keys, asked, ["conv_id", "key"])
     first = own.groupBy("conv_id", "key").agg(F.min("turn").alias("origin")).join(asked, ["conv_id", "key"])
     found = join_by_size(quotes, first, ["conv_id", "key"], "_n", total).filter("origin < turn")
     found = materialise(found.select("conv_id", "turn", "at", "level", "origin"), "found")
