@@ -146,6 +146,29 @@ def test_license_units_of_any_shape():
     assert repeats.search(text) == bool(repeats.matches(text)) is True
 
 
+def test_notices_of_any_layout(spark):
+    """Notices wrapped in a comment header and in mid-sentence."""
+    header = "/*\n * Copyright 2020 Foo Press\n * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General\n * Public License as published by the Free Software\n * Foundation, either version 3 of the License, or (at\n * your option) any later version.\n * This program comes without any warranty, to the extent\n * that the law permits it, not even an implied one.\n */"
+    middle = "© 2020 Foo Press, licensed under CC BY 4.0."
+    plain = "Nothing of that kind: the law of the land and the terms of the game."
+    rows = spark.createDataFrame([(1, header), (2, middle), (3, plain), (4, f"{plain}\n\n{middle} {middle}\n{middle}")], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["line"], r["n_lines"]) for r in license_scan.license_scan(rows).collect()}
+    assert got == {(1, "GPL-3.0"): (1.0, 2, 1), (2, "CC-BY-4.0"): (1.0, 0, 1), (4, "CC-BY-4.0"): (1.0, 2, 2)}
+
+
+@given(st.lists(st.sampled_from("released under the mit license this work is".split()), max_size=16))
+def test_notices_are_the_best_runs(words):
+    known = license_scan.Templates(license_scan.TEMPLATES | {"one": ("Work",)}, license_scan.DICE)
+    best = {}
+    for i, j in itertools.combinations(range(len(words) + 1), 2):
+        own = license_scan.bigrams(" ".join(words[i:j]))
+        for name, b in known.known:
+            best[name] = max(best.get(name, 0), license_scan.dice(own, b))
+    got = {name: d for name, (d, _, _) in known.notices("\n".join(words)).items()}
+    assert got == {name: d for name, d in best.items() if d >= license_scan.DICE}
+    assert not got or known.search(" ".join(words))
+
+
 ROWS = [
     ("c", 0, "user", "How do I sort?\nSecond line", 1),
     ("c", 1, "assistant", "> How do I sort?\nUse sorted().", 2),

@@ -1,6 +1,7 @@
-"""Licence scan: lines, sentences and paragraphs compared to licence templates by Dice over word bigrams.
+"""Licence scan: runs of words compared to licence templates by Dice over word bigrams.
 
-A unit can only reach the threshold with a template if their numbers of bigrams are within (2 - t) / t of each other,
+All runs of a text's words are compared, across lines, comment signs and sentences, as the best begin and end with a
+bigram of the template. A run can only reach the threshold with a template if their numbers of bigrams are within (2 - t) / t of each other,
 and if it has one of any set of over (2 - 2t) / (2 - t) of the template's bigrams: such a set, of its longest ones, is
 searched in the whole text first, which loses nothing.
 """
@@ -8,6 +9,7 @@ searched in the whole text first, which loses nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -85,6 +87,12 @@ class Templates:
                     break
                 self.anchors.add(f" {' '.join(dict.fromkeys(g))} ")
                 missing += b[g]
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for i, (_, b) in enumerate(self.known):
+            for g in b:
+                self.having.setdefault(g, []).append(i)
+        # a template of one word has it as its bigram with itself
+        self.single = {g[0]: own for _, b in self.known for g in b if (own := [i for i in self.having[g] if self.sizes[i] == 1 and g[0] == g[1]])}
 
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "automaton"}
@@ -97,8 +105,59 @@ class Templates:
             self.automaton.make_automaton()
         return next(self.automaton.iter(f" {normalise(text)} "), None) is not None
 
+    def windows(self, template: int, at: list[int], grams: list[tuple[str, str]]) -> Iterator[tuple[float, int, int]]:
+        """(similarity, first, last bigram) of the best run from each start; at are places of the template's bigrams."""
+        b, size = self.known[template][1], self.sizes[template]
+        longest, common = size * (2 - self.least) / self.least + 1e-9, size * self.least / (2 - self.least) - 1e-9
+        for k, start in enumerate(at):
+            end = bisect_right(at, start + longest - 1)
+            if end - k < common:
+                continue
+            left, shared, best = dict(b), 0, (0.0, 0)
+            for p in at[k:end]:
+                if left[grams[p]]:
+                    left[grams[p]] -= 1
+                    shared += 1
+                    best = max(best, (2 * shared / (size + p - start + 1), -p))
+            if best[0] >= self.least:
+                yield best[0], start, -best[1]
+
+    def notices(self, text: str) -> dict[str, tuple[float, int, int]]:
+        """By licence: the best similarity of a run of words, the first line where one begins, and the number of lines
+        where one begins; of runs that overlap the most similar counts."""
+        words, lines = [], []
+        for number, own in enumerate(text.split("\n")):
+            own = normalise(own).split()
+            words += own
+            lines += [number] * len(own)
+        grams = list(zip(words, words[1:], strict=False))
+        places: dict[int, list[int]] = {}
+        for p, g in enumerate(grams):
+            for i in self.having.get(g, ()):
+                places.setdefault(i, []).append(p)
+        found: dict[str, list[tuple[float, int, int]]] = {}
+        for i, at in places.items():
+            if self.sizes[i] > 1 or i not in self.single.get(grams[at[0]][0], ()):
+                found.setdefault(self.known[i][0], []).extend(self.windows(i, at, grams))
+        for p, w in enumerate(words if self.single else ()):
+            for i in self.single.get(w, ()):
+                found.setdefault(self.known[i][0], []).append((1.0, p, p - 1))
+        out = {}
+        for name, runs in found.items():
+            taken, kept = set(), {}
+            for d, first, last in sorted(runs, key=lambda r: (-r[0], r[1])):
+                # places of words: one more than of bigrams
+                own = range(first, last + 2)
+                if taken.isdisjoint(own):
+                    taken.update(own)
+                    kept.setdefault(lines[first], d)
+            if kept:
+                best = max(kept.values())
+                out[name] = (best, min(k for k, d in kept.items() if d == best), len(kept))
+        return out
+
     def matches(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """By licence: the best similarity, the first line that has it, and the number of lines with the licence."""
+        """As notices(), of layout units alone: lines, sentences and paragraphs."""
         found: dict[str, dict[int, float]] = {}
         low, high = min(self.sizes) * self.least / (2 - self.least) - 1e-9, max(self.sizes) * (2 - self.least) / self.least + 1e-9
         for line, unit in units(text):
@@ -115,9 +174,9 @@ class Templates:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, dice, line, n_lines): a row for each licence that a document's units reach.
+    """(doc_id, license, dice, line, n_lines): a row for each licence that a run of a document's words reaches.
 
-    Null and empty texts have none; repeated rows are reported as often; ties go to the first line; a null id stays
+    line is where the first of the best runs begins, n_lines the number of lines where runs that don't overlap begin. Null and empty texts have none; repeated rows are reported as often; ties go to the first line; a null id stays
     null; an empty table gives no rows; other columns of docs don't matter.
     """
     bounded_batches(docs.sparkSession)
@@ -130,7 +189,7 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None =
             for part in kernel.pieces(batch, "text"):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if text and known.known and known.search(text):
-                        rows += [(doc, name, round(d, 6), line, n) for name, (d, line, n) in sorted(known.matches(text).items())]
+                        rows += [(doc, name, round(d, 6), line, n) for name, (d, line, n) in sorted(known.notices(text).items())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
