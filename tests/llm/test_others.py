@@ -100,6 +100,20 @@ def test_decontamination_edges(spark, edges, empty, benchmark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in decontamination.contaminated(capitals, accents).collect()] == [(1, 1, 1)]
 
 
+def test_decontamination_of_shared_passages(spark, monkeypatch):
+    """Items that repeat or share text are found with a changed word, in the same way in one block and in several."""
+    words = [f"w{i}" for i in range(54)]
+    changed = " ".join([*words[:25], "other", *words[26:]])
+    items = [(i, " ".join(words)) for i in range(3)] + [(10 + i, " ".join([*words, f"end{i}"])) for i in range(3)] + [(20 + i, f"{' '.join(words[:30])} " + " ".join(f"x{i}y{k}" for k in range(24))) for i in range(4)]
+    docs = spark.createDataFrame([(1, f"before {changed} after"), (2, items[-1][1].replace("w20 ", "other ")), (3, " ".join(words[:40]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (4 << 20, 256):
+        monkeypatch.setattr(decontamination, "ITEM_BYTES", size)
+        found.append({(r["doc_id"], r["item_id"], r["similarity"]) for r in decontamination.contaminated(docs, benchmark).collect()})
+    assert found[0] == found[1] and {(d, i) for d, i, _ in found[0]} == {(1, 0), (1, 1), (1, 2), (2, 23)}
+
+
 def test_window_starts_of_a_long_text():
     """The best window of a text that repeats parts of an item, against similarities of all windows."""
     rng = np.random.default_rng(7)

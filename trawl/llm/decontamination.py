@@ -3,12 +3,14 @@
 A document's windows of an item's number of words get SimHash fingerprints, sums of weighted shingle signs over prefix
 sums. Fingerprints within a Hamming radius of an item's are found through blocks of bits: two fingerprints within the
 radius differ in some block by at most radius // blocks, so no pair within it is missed. Pairs within the radius are
-verified by the exact weighted Jaccard similarity of their shingle sets. Only windows that share a shingle with the
+verified by the exact weighted Jaccard similarity of their shingle sets; weights follow the number of different texts of
+the whole benchmark that have a shingle. Only windows that share a shingle with the
 item are fingerprinted, since all others have similarity 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import kernel
-from trawl.llm.store import bounded_batches
+from trawl.llm.store import bounded_batches, materialise
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits, radius and blocks. At similarity 0.8 a distance has a mean of about 10 and a deviation of about 3.
@@ -54,7 +56,8 @@ def case_folded(column: pa.Array) -> pa.Array:
 class Items:
     """A block of benchmark items: shingle sets with weights, and fingerprints by number of words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], counts: dict[int, int] | None = None, total: int = 0):
+    def __init__(self, ids: list[int], texts: list[str | None], counts: dict[int, int] | None = None):
+        """counts: for shingles of several different texts of the benchmark, their number; without it, texts are all there are."""
         data, offsets = kernel.buffers(case_folded(pa.array(texts, pa.string())))
         starts, ends, bounds = kernel.word_spans(data, offsets)
         values, at = kernel.shingles(kernel.word_hashes(data, starts, ends), bounds, WORDS)
@@ -64,25 +67,31 @@ class Items:
                 self.ids.append(item)
                 self.sets.append(values[at[i] : at[i + 1]])
                 self.sizes.append(int(bounds[i + 1] - bounds[i]))
-        everything = np.concatenate([np.unique(s) for s in self.sets]) if self.sets else np.zeros(0, kernel.U64)
-        self.known, frequency = np.unique(everything, return_counts=True)
-        # a shingle of many items says less: weight 1 for one item, falling with the logarithm of the number of items
-        self.weight = 1 / (1 + np.log(frequency))
+        self.unique = [np.unique(s) for s in self.sets]
+        different = list({s.tobytes(): u for s, u in zip(self.sets, self.unique, strict=True)}.values())
+        self.known, frequency = np.unique(np.concatenate(different) if different else np.zeros(0, kernel.U64), return_counts=True)
+        if counts is not None:
+            frequency = np.array([counts.get(v, 1) for v in self.known.tolist()], np.int64)
+        # a shingle of many texts says less: weight 1 for one text, falling with the logarithm of the number of texts;
+        # all others weigh as much as an item's own on average. None where weights are equal, as their scale doesn't matter
+        weight = 1 / (1 + np.log(frequency))
+        self.weights = [None if (w := weight[np.searchsorted(self.known, u)]).min() == w.max() else w for u in self.unique]
         self.where: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             for v in np.unique(s).tolist():
                 self.where.setdefault(v, []).append(i)
-        self.prints = np.array([fingerprints(s, self.weigh(s), np.array([0]), len(s))[0] for s in self.sets], np.uint64)
-        self.unique = [np.unique(s) for s in self.sets]
+        self.prints = np.array([fingerprints(s, self.weigh(s, i), np.array([0]), len(s))[0] for i, s in enumerate(self.sets)], np.uint64)
         mask = 1 << 20
         self.filter = np.zeros(mask, bool)
         self.filter[(self.known & np.uint64(mask - 1)).astype(np.int64)] = True
 
-    def weigh(self, values: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+    def weigh(self, values: np.ndarray, item: int) -> np.ndarray:
+        """Weights for a comparison with an item: of its own shingles theirs, of all others their mean."""
+        own, weights = self.unique[item], self.weights[item]
+        if weights is None:
             return np.ones(len(values))
-        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
-        return np.where(self.known[at] == values, self.weight[at], 1.0)
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        return np.where(own[at] == values, weights[at], weights.mean())
 
     def hits(self, values: np.ndarray) -> np.ndarray:
         """Positions of shingles that an item has."""
@@ -94,8 +103,8 @@ class Items:
     def similarity(self, window: np.ndarray, item: int) -> float:
         window = np.unique(window)
         both = np.intersect1d(window, self.unique[item], assume_unique=True)
-        common = self.weigh(both).sum()
-        return float(common / (self.weigh(window).sum() + self.weigh(self.unique[item]).sum() - common))
+        common = self.weigh(both, item).sum()
+        return float(common / (self.weigh(window, item).sum() + self.weigh(self.unique[item], item).sum() - common))
 
     def matches(self, values: np.ndarray, hits: np.ndarray, similarity: float) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the most similar window of each item that a text contains."""
@@ -103,11 +112,12 @@ class Items:
         for p in hits.tolist():
             for i in self.where[int(values[p])]:
                 near.setdefault(i, []).append(p)
-        by_size: dict[int, list[int]] = {}
+        # items of equal size and equal weights of all shingles share the windows' fingerprints
+        alike: dict[tuple[int, int], list[int]] = {}
         for i in near:
-            by_size.setdefault(len(self.sets[i]), []).append(i)
+            alike.setdefault((len(self.sets[i]), -1 if self.weights[i] is None else i), []).append(i)
         best: dict[int, tuple[float, int, int]] = {}
-        for size, items in by_size.items():
+        for (size, _), items in alike.items():
             size_here = min(size, len(values))
             if size_here < similarity * size:
                 continue
@@ -123,7 +133,7 @@ class Items:
                 # far starts in a chunk would span a long text; each run of near starts is summed on its own
                 for run in np.split(own, np.flatnonzero(np.diff(own) > 4 * size_here) + 1):
                     span = values[run[0] : run[-1] + size_here]
-                    prints = fingerprints(span, self.weigh(span), run - run[0], size_here)
+                    prints = fingerprints(span, self.weigh(span, items[0]), run - run[0], size_here)
                     blocks = _distances(prints, self.prints[items])
                     close = (blocks.min(axis=2) <= RADIUS // BLOCKS) & (blocks.sum(axis=2, dtype=np.int64) <= RADIUS)
                     for w, k in np.argwhere(close):
@@ -134,15 +144,41 @@ class Items:
         return [(self.ids[i], round(f, 6), s, n) for i, (f, s, n) in sorted(best.items())]
 
 
+def _texts_by_shingle(rows: DataFrame, blocks: int) -> DataFrame:
+    """(block, shingle, texts): each block's shingles that several different texts of the whole benchmark have."""
+    schema = pa.schema([("text", pa.binary()), ("block", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernel.pieces(batch, "text"):
+                values, at = kernel.text_shingles(case_folded(part.column(1)), WORDS)
+                for d, block in enumerate(part.column(0).to_pylist()):
+                    own = values[at[d] : at[d + 1]]
+                    if len(own):
+                        text, own = hashlib.sha256(own.tobytes()).digest()[:16], np.unique(own).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([text] * len(own), pa.binary()), pa.array([block] * len(own), pa.int64()), pa.array(own)], schema=schema)
+
+    owned = rows.select(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"), "text").filter("text is not null")
+    owned = materialise(owned.mapInArrow(run, "text binary, block long, shingle long").distinct(), "benchmark")
+    several = owned.select("text", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
+    return materialise(owned.select("block", "shingle").distinct().join(several, "shingle").select("block", "shingle", "texts"), "texts")
+
+
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
     """The benchmark in blocks of bounded size, in the order of ids; each is read on its own."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // (ITEM_BYTES // 2)))
+    several = None
+    if blocks > 1:
+        bounded_batches(benchmark.sparkSession)
+        several = _texts_by_shingle(rows, blocks)
     for b in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         if own or b == 0:
-            yield Items([r[0] for r in own], [r[1] for r in own])
+            # unsigned, as the kernel's
+            counts = None if several is None else {r[0] % (1 << 64): r[1] for r in several.filter(F.col("block") == b).select("shingle", "texts").collect()}
+            yield Items([r[0] for r in own], [r[1] for r in own], counts)
 
 
 def _matcher(items: Items, similarity: float):
