@@ -1,11 +1,11 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
 A document's windows of an item's number of words get SimHash fingerprints, sums of weighted shingle signs over prefix
-sums. Fingerprints within a Hamming radius of an item's are found through blocks of bits: two fingerprints within the
-radius differ in some block by at most radius // blocks, so no pair within it is missed. Pairs within the radius are
+sums. Only windows that share a shingle with an item, found by an index of exact shingles, are fingerprinted, since all
+others have similarity 0; the distances of these to the item are computed in full, summed over blocks of bits, so blocks
+don't serve as an index. Pairs within the radius are
 verified by the exact weighted Jaccard similarity of their shingle sets; weights follow the number of different texts of
-the whole benchmark that have a shingle. Only windows that share a shingle with the
-item are fingerprinted, since all others have similarity 0.
+the whole benchmark that have a shingle.
 """
 
 from __future__ import annotations
