@@ -29,6 +29,12 @@ def test_shards(docs, edges, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_bound_of_rounds_follows_the_shards(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sharding, "_rounds", lambda state, held, total, rounds: (state, seen.append(rounds)))
+    assert sharding.propagate(spark.range(10).selectExpr("id as row", "id as grp"), 32).count() == 10 and seen == [128]
+
+
 def test_hot_group(spark):
     """A group of more rows than a shard holds is split over as few shards as can hold it."""
     rows = spark.range(300).selectExpr("id as doc_id", "case when id % 3 = 0 then 'same' else cast(id as string) end as text")

@@ -4,7 +4,7 @@ Documents start in shards of equal numbers of rows. In each round the links of a
 asks to move where more of its neighbours are. Requests are granted under quotas that keep every shard's number of
 rows: a move into a shard is paid for by a move out of it, of another request or of a document without links. Rounds
 that ask for shards with such documents and rounds of exchanges between linked ones take turns. Rounds go
-on until none helps. The shard of a document without links is free, so it costs nothing to move it. Groups that are
+on until none helps, up to a bound of four a shard. The shard of a document without links is free, so it costs nothing to move it. Groups that are
 still cut then are dealt one after the other into the rows that they hold, so fewer than there are shards stay cut.
 """
 
@@ -141,7 +141,8 @@ def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFram
     """(row, grp, shard) for members (row, grp): row is unique, rows of equal grp are linked.
 
     Shards hold equal numbers of rows, at most one apart, before and after each round. Only votes by group and shard
-    and a matrix of shards x shards counts are gathered; the matrix alone reaches the driver.
+    and a matrix of shards x shards counts are gathered; the matrix alone reaches the driver. Before and after the dealing
+    rounds end when none is granted, at most after ``rounds`` or four a shard, whichever is more.
     """
     members = materialise(members, "members")
     total = members.count()
@@ -152,6 +153,8 @@ def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFram
     alone = placed.join(sizes.select("grp"), "grp", "left_anti").withColumn("linked", F.lit(False))
     state = materialise(linked.unionByName(alone.select(linked.columns)), "shards")
     held = {s: total // shards + (s < total % shards) for s in range(shards)}
+    # a hot group fills about a shard in two rounds
+    rounds = max(rounds, 4 * shards)
     state, votes = _rounds(state, held, total, rounds)
     if votes is None:
         return state
