@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm import bitmaps, exact_dedup, graph, near_dedup
+from trawl.llm import bitmaps, exact_dedup, graph, near_dedup, skew
 from trawl.llm.queries import SQL
 
 from .conftest import SF
@@ -112,9 +112,46 @@ def test_near_edges(edges, empty):
         got[r["doc_id"]].add(r["component_id"])
     assert got[4] == got[5] == got[6] == got[7] == {4} and got[1] == {1} and got[2] == {2} and got[3] == {3} and got[12] == {11}
     assert got[None] == {4, None}
-    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
     left = near_dedup.drop_near_duplicates(edges, words=3, percent=85)
-    assert left.columns == edges.columns and {r["doc_id"] for r in left.collect()} == {None, 1, 2, 3, 4, 8, 9, 10, 11, 13}
+    assert left.columns == edges.columns
+    want = [(i, t) for i, t in ((r["doc_id"], r["text"]) for r in edges.collect()) if i not in (5, 6, 7, 12) and not (i is None and t != "only here once")]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in left.collect())
+
+
+def texts_of(n, seed=3):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(n)]
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    """Links go by text: an id on two texts hides neither, and copies without id are dropped beside one with an id."""
+    a, b, c, d, e, f = texts_of(6)
+    rows = [(5, a), (5, b), (9, b + " end"), (None, a + " end"), (None, a), (None, c), (None, c), (None, c + " end"), (7, d), (7, d), (8, e), (8, e + " end"), (3, f), (None, None), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _set_key string")
+    got = sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in near_dedup.near_duplicates(docs).collect())
+    want = [(5, 5, True), (5, 5, True), (9, 5, False), (None, 5, False), (None, 5, False), *[(None, None, True)] * 5, (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True), (3, 3, True), (4, 4, True)]
+    assert got == sorted(map(str, want))
+    left = near_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(str(i) for i, _ in left) == sorted(map(str, [5, 5, None, 7, 8, 3, None, None, 4]))
+    assert (5, a) in left and (5, b) in left and sum(t in (c, c + " end") for _, t in left) == 1 and sum(t in (e, e + " end") for _, t in left) == 1
+
+
+def test_a_hot_class_without_ids(spark):
+    a, b = texts_of(2)
+    docs = spark.createDataFrame([(None, a)] * 300 + [(i, b if i % 2 else b + f" e{i}") for i in range(300)], "doc_id long, text string")
+    got = collections.Counter((r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(None, True): 300, (0, False): 299, (0, True): 1}
+    assert sorted(str(r["doc_id"]) for r in near_dedup.drop_near_duplicates(docs).collect()) == ["0", "None"]
+
+
+def test_pairs_beside_values_of_hot_ids(spark):
+    pairs = [(0, i) for i in range(1, 700)] + [(i, 900) for i in range(800, 899)]
+    one = spark.range(1000).selectExpr("id as cid", "id * 10 as v")
+    got = skew.beside(spark.createDataFrame(pairs, "a long, b long"), one, "cid", "v", chunk=50).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(pairs) and all(r["x"] == 10 * r["a"] and r["y"] == 10 * r["b"] for r in got)
 
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
