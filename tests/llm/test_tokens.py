@@ -79,9 +79,16 @@ def test_counts(docs, edges, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-@settings(deadline=None)
-@given(st.text(alphabet="ab \n.é", max_size=60))
+@settings(deadline=None, max_examples=400)
+@given(st.text(alphabet="ab \n.é\u2581\u00a0\u200b\u3000\u037a", max_size=60))
 def test_safe_splits(text):
-    sp = load(default_path("piece_bpe_32k.model"))
-    assert not token_counts.spans_spaces(sp)
+    path = default_path("piece_bpe_32k.model")
+    sp = load(path)
+    assert not token_counts.spans_spaces(path)
     assert sum(len(sp.encode(p)) for p in token_counts.split_safely(text, 5)) == len(sp.encode(text))
+
+
+@pytest.mark.parametrize("text", ["ab \u2581 cd " * 9000, "abcd\u2581 efgh " * 8000, "\u2581\u2581 " * 30_000, "x" * 70_000 + " \u2581" + "y z " * 9])
+def test_long_texts_with_the_space_mark(text):
+    path = default_path("piece_bpe_32k.model")
+    assert len(text) > token_counts.LONG and token_counts.count_tokens([text], path) == [len(load(path).encode(text))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,15 +16,17 @@ from trawl.llm.tokenizers_ import default_path, load
 
 #: Bytes of text encoded by one call, and characters from which a text is split.
 CALL_BYTES, LONG = 1 << 18, 1 << 16
-#: A single space between two other characters that are no white space.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+_LETTER = "[0-9A-Za-z\u00c0-\u024f\u0391-\u03c9\u0400-\u04ff]"
+#: A single space between letters or digits that no normalisation turns into white space or the space mark.
+SAFE = re.compile(f"(?<={_LETTER}) (?={_LETTER})")
 
 
 def split_safely(text: str, most: int = LONG) -> list[str]:
     """Parts of about ``most`` characters for sentencepiece, whose counts add up to the whole text's.
 
     The models' pieces have the space mark at their start only, so none spans a cut before a single space; the space
-    itself goes, as each part gets the mark again at its start. A text without a safe boundary stays whole.
+    itself goes, as each part gets the mark again at its start. Signs beside a space, the mark itself among them, may
+    merge with it, so a cut is between letters or digits. A text without a safe boundary stays whole.
     """
     parts, start = [], 0
     while len(text) - start > most:
@@ -35,8 +38,10 @@ def split_safely(text: str, most: int = LONG) -> list[str]:
     return [*parts, text[start:]]
 
 
-def spans_spaces(processor) -> bool:
+@lru_cache(maxsize=4)
+def spans_spaces(path: str) -> bool:
     """True if a piece of the model has the space mark after another character: then no cut is safe."""
+    processor = load(path)
     return any(re.search("[^▁]▁", processor.id_to_piece(i)) for i in range(processor.get_piece_size()))
 
 
@@ -46,7 +51,7 @@ def count_tokens(texts: list[str], path: str, long: int = LONG) -> list[int]:
         return [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     if not any(len(t) > long for t in texts):
         return [len(ids) for ids in tokenizer.encode(texts, num_threads=1)]
-    parts = [[t] if len(t) <= long or spans_spaces(tokenizer) else split_safely(t, long) for t in texts]
+    parts = [[t] if len(t) <= long or spans_spaces(path) else split_safely(t, long) for t in texts]
     sizes = iter([len(ids) for own in parts for ids in tokenizer.encode(own, num_threads=1)])
     return [sum(next(sizes) for _ in own) for own in parts]
 
