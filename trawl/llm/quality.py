@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import kernel
-from trawl.llm.labelled import fold, sample, training_rows
+from trawl.llm.labelled import fold, sample, sampled_texts, training_rows
 from trawl.llm.store import bounded_batches
 
 #: Rows of each class that a fit takes at most.
@@ -128,8 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     bounded_batches(docs.sparkSession)
     chosen = sample(labels, "quality", folds, held_out, per_class)
     sizes = dict(training_rows(labels, "quality", folds, held_out).groupBy("y").count().collect())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = sampled_texts(docs, chosen, id_col, text_col)
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
             for part in kernel.pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(statistics(part.column(0))), pa.list_(pa.float64()))], schema=schema)
 
-    found = rows.mapInArrow(run, "y int, x array<double>").limit(4 * per_class).toPandas()
+    found = rows.mapInArrow(run, "y int, x array<double>").toPandas()
     return fit(np.array(found["x"].tolist()).reshape(len(found), len(FEATURES)), found["y"].to_numpy(dtype=int), counts=(sizes.get(0, 0), sizes.get(1, 0)))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import kernel
 from trawl.llm.labelled import fold as crc_fold
-from trawl.llm.labelled import sample, training_rows
+from trawl.llm.labelled import sample, sampled_texts, training_rows
 from trawl.llm.store import bounded_batches
 
 #: Rows of each class that a fit takes at most, and terms that a lexicon has at most.
@@ -158,8 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     spark = docs.sparkSession
     bounded_batches(spark)
     chosen = sample(labels, "toxic", folds, held_out, per_class)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = sampled_texts(docs, chosen, id_col, text_col)
     schema = pa.schema([("term", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(lexicon.features(batch.column(0).to_pylist())), pa.list_(pa.float64()))], schema=scored)
 
-    found = rows.mapInArrow(features, "y int, x array<double>").limit(4 * per_class).toPandas()
+    found = rows.mapInArrow(features, "y int, x array<double>").toPandas()
     x, y = np.array(found["x"].tolist()).reshape(-1, 3), found["y"].to_numpy(dtype=float)
     if not (p and n):
         return Model(lexicon, np.array([-3.0, 1.0, 0.5]))
