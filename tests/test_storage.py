@@ -79,7 +79,7 @@ def test_follow(spark, tmp_path, tree):
 def test_paths(spark):
     rows = [(1, 99, "top", True), (2, 1, "mid", True), (3, 2, "leaf", False), (5, 5, "root", True), (6, 5, "under", False), (7, 8, "x", True), (8, 7, "y", True)]
     rows += [(100 + i, 99 + i if i else 1, f"d{i}", True) for i in range(40)]
-    got = {r["file_ref"]: r["path"] for r in resolve_paths(spark.createDataFrame(rows, "file_ref long, parent_ref long, name string, is_dir boolean"), "C:\\").collect()}
+    got = {r["file_ref"]: r["path"] for r in resolve_paths(spark.createDataFrame(rows, "file_ref long, parent_ref long, name string, is_dir boolean"), "C:\\", order=None).collect()}
     assert got[3] == "C:\\top\\mid\\leaf" and got[6] == "C:\\under" and 5 not in got and 7 not in got
     assert got[139] == "C:\\top\\" + "\\".join(f"d{i}" for i in range(40))
 
@@ -123,3 +123,92 @@ def test_plugins(spark):
 def test_volumes(spark, tmp_path):
     (tmp_path / "mounts").write_text("proc /proc proc rw 0 0\n/dev/sda / ext4 rw 0 0\n/dev/sdb none ext4 rw 0 0\nshort line\n")
     assert [tuple(r) for r in files.volumes(spark, str(tmp_path / "mounts")).collect()] == [("/", "ext4")]
+
+
+def test_paths_of_a_wide_directory_and_below_cycles(spark, monkeypatch):
+    """Most rows in one directory, the last of repeated records, a deep chain that is cut and rows below a cycle."""
+    from trawl.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "WIDE", 4)
+    rows = [(1, 99, "top", 0), (2, 1, "old", 0), (2, 1, "wide", 1)] + [(10_000 + i, 2, f"f{i}", 0) for i in range(3000)]
+    rows += [(20_000 + i, 20_001 + i if i < 2 else 20_000, f"c{i}", 0) for i in range(3)] + [(20_010, 20_000, "below", 0), (20_011, 20_010, "lower", 0)]
+    rows += [(30_000 + i, 29_999 + i if i else 1, f"d{i}", 0) for i in range(600)] + [(5, 5, "root", 0), (6, 5, "under", 0)]
+    got = {r["file_ref"]: (r["path"], r["depth"]) for r in resolve_paths(spark.createDataFrame(rows, "file_ref long, parent_ref long, name string, seq long"), "C:\\").collect()}
+    assert got[10_007] == ("C:\\top\\wide\\f7", 3) and got[6] == ("C:\\under", 1) and not any(20_000 <= i < 30_000 for i in got) and 5 not in got
+    assert max(d for _, d in got.values()) == hierarchy.DEPTH + 1 and got[30_511][1] == 513 and 30_512 not in got
+
+
+def test_walk_in_parts(tmp_path):
+    """The parts of a walk give each entry once, whatever their number."""
+    for a in range(4):
+        for b in range(3):
+            (tmp_path / f"a{a}" / f"b{b}").mkdir(parents=True)
+            (tmp_path / f"a{a}" / f"b{b}" / "x.txt").write_text("x")
+    os.symlink(tmp_path / "a0", tmp_path / "link")
+    want = sorted(files.walk(str(tmp_path)))
+    for n in (1, 2, 5, 300):
+        parts = files.split([str(tmp_path)], n)
+        assert sorted(r for p in parts for r in files.walk(p.folder, (), p.own, p.deep)) == want and len(parts) >= min(n, 17)
+
+
+def test_progress_counters_and_remembered_searches(spark, tree, tmp_path):
+    c, said = Catalog(spark, str(tmp_path / "home")), []
+    c.on_progress = lambda phase, done, message: said.append((phase, done))
+    c.add_directory(str(tree))
+    c.config.excluded_patterns = [".git"]
+    c.rebuild()
+    assert said == [("rebuild", False), ("rebuild", True)] and c.last_scan == {"indexed": 6, "skipped": 2, "error": 1}
+    first = c.search("notes", as_of="2024-01-01")
+    assert c.search("notes", as_of="2024-01-01") is first and c.search("notes") is not first
+    hit = c.search("notes content:x", as_of="2024-01-01").collect()
+    assert [r["score"] for r in hit] == [r["score"] for r in first.collect()]
+    c.upsert_scan(str(tree / "src"))
+    assert c.search("notes", as_of="2024-01-01") is not first
+
+
+def test_changes_rewrite_their_buckets_alone(spark, tmp_path, tree):
+    store = str(tmp_path / "store")
+    rows = files.scan(spark, str(tree), [".git"])
+    storage.save(rows, store)
+    before = storage.meta(store)
+    gone = spark.createDataFrame([(str(tree / "notes.md"),)], "path string")
+    after = storage.replace(store, gone, lambda r: r.join(gone, "path", "left_anti").select(*r.columns))
+    changed = {b for b in before["segments"] if before["segments"][b] != after["segments"].get(b)}
+    assert len(changed) == 1 and after["doc_count"] == before["doc_count"] - 1
+    assert {r["name"] for r in storage.load(spark, store).collect()} == {r["name"] for r in rows.collect()} - {"notes.md"}
+    assert storage.replace(store, gone.limit(0), None) == after
+    storage.delete(store)
+    assert not storage.exists(store) and storage.size(store) == 0
+
+
+def test_filters_reach_the_scan_of_a_stored_catalog(spark, tmp_path, tree):
+    from trawl.operators import search
+    from trawl.plans import dsl
+
+    storage.save(files.scan(spark, str(tree)), str(tmp_path / "s"))
+    query = dsl.normalise(dsl.parse("main ext:rs size:>1 path:/SRC modified:>2001-01-01"))
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = search.matches(storage.load(spark, str(tmp_path / "s")), query)._jdf.queryExecution().explainString(formatted)
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(x in pushed for x in ("EqualTo(extension,rs)", "GreaterThanOrEqual(size,1)", "StringContains(path_lower,/src)", "StringContains(name_key,mai)", "GreaterThanOrEqual(modified"))
+
+
+def test_contents_that_have_grown(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("12345")
+    rows = spark.createDataFrame([(1, str(tmp_path / "a.txt"), "txt", 3, False)], "id long, path string, extension string, size long, is_dir boolean")
+    assert files.contents(rows, max_size=4).count() == 0 and files.contents(rows, max_size=5).first()["content"] == "12345"
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from trawl.model import IndexStorageError
+    from trawl.scratch import shared_folder
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("local[2]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(IndexStorageError):
+            shared_folder(session(master))

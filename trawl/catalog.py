@@ -5,19 +5,22 @@ from __future__ import annotations
 import logging
 import os
 import threading
-from collections import deque
+from collections import OrderedDict, deque
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from trawl.config import Config
-from trawl.model import CATALOG, ConfigError, Query
+from trawl.model import CATALOG, ConfigError, Query, ScanError
 from trawl.operators import catalog_ops, search
 from trawl.plans import dsl
 from trawl.plugins import Registry
+from trawl.scratch import materialise
 from trawl.sources import files, storage
 
 log = logging.getLogger(__name__)
+#: Searches that a catalog remembers.
+CACHED = 128
 
 
 class Catalog:
@@ -30,6 +33,24 @@ class Catalog:
         self.tasks: deque = deque()
         self._busy = threading.Lock()
         self._rows: DataFrame | None = None
+        #: Entries indexed, skipped and in error in the last scan, and a function that is told of steps.
+        self.last_scan: dict[str, int] = {}
+        self.on_progress = lambda phase, done, message: log.info("%s: %s", phase, message)
+        self._cache: OrderedDict = OrderedDict()
+
+    def _scanned(self, phase: str, roots: list[str], first: int, use) -> DataFrame:
+        """Scans, passes the rows on to ``use`` and reports."""
+        self.on_progress(phase, False, f"scanning {len(roots)} directories")
+        counters = Observation()
+        try:
+            rows = files.scan_roots(self.spark, roots, self.config.excluded_patterns, first, counters)
+            use(rows)
+        except Exception as e:
+            self.on_progress(phase, True, f"failed: {e}")
+            raise
+        self.last_scan = counters.get if any(os.path.isdir(r) for r in roots) else {}
+        self.on_progress(phase, True, f"done: {self.last_scan}")
+        return self.stats()
 
     def open(self) -> DataFrame:
         """The stored rows; an empty catalog where nothing is stored."""
@@ -40,6 +61,7 @@ class Catalog:
     def save(self, rows: DataFrame) -> dict:
         out = storage.save(self.plugins.on_index(rows), self.index)
         self._rows = None
+        self._cache.clear()
         return out
 
     def rebuild(self) -> DataFrame:
@@ -49,7 +71,7 @@ class Catalog:
             if not roots:
                 log.warning("no directory is enabled")
             else:
-                self.save(files.scan_roots(self.spark, roots, self.config.excluded_patterns))
+                return self._scanned("rebuild", roots, 1, self.save)
         return self.stats()
 
     def index_all_volumes(self) -> DataFrame:
@@ -61,24 +83,35 @@ class Catalog:
 
     def upsert_scan(self, root: str) -> DataFrame:
         """Puts a directory's rows in by path; rows of vanished files stay."""
+        if not os.path.isdir(root):
+            raise ScanError(f"{root} is no directory")
         with self._busy:
             first = storage.meta(self.index)["next_id"] if storage.exists(self.index) else 1
-            rows = files.scan(self.spark, root, self.config.excluded_patterns, first)
-            now = self.open().select(*rows.columns)
-            self.save(catalog_ops.upsert(now, rows))
-        return self.stats()
+            return self._scanned("scan", [root], first, lambda rows: self.save(catalog_ops.upsert(self.open().select(*rows.columns), rows)))
 
     def search(self, raw: str | Query, as_of: datetime | None = None, limit: int | None = None) -> DataFrame:
+        """Results in their order. A search with its own as_of is kept, with scores and snippets, until rows change."""
+        key = (raw, as_of, limit, self.config.index_content) if as_of else None
+        if key in self._cache:
+            self._cache.move_to_end(key)
+            return self._cache[key]
         query = dsl.normalise(dsl.parse(raw) if isinstance(raw, str) else raw)
         rows = self.open()
         as_of = as_of or datetime.now(UTC).replace(tzinfo=None)
         out = search.ranked(search.matches(rows, query), query, as_of)
         if limit is not None:
-            out = out.limit(min(limit, query.limit))
+            out = search.limited(out, limit)
         if query.search_content and self.config.index_content and query.keywords:
+            # at most a result's limit of rows, written so that the search runs once
+            out = materialise(out, "results")
             found = files.contents(out, self.config.content_extensions, self.config.content_max_size)
-            out = search.with_snippets(out, found, query.keywords)
-        return self.plugins.on_search(query, out)
+            out = search.with_snippets(out, found, query.keywords).orderBy(*search.order_of(query))
+        out = self.plugins.on_search(query, out)
+        if key:
+            self._cache[key] = out
+            while len(self._cache) > CACHED:
+                self._cache.popitem(last=False)
+        return out
 
     def stats(self) -> DataFrame:
         return catalog_ops.index_stats(self.open())

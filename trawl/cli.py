@@ -5,11 +5,10 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from trawl.catalog import Catalog
 from trawl.config import Config
-from trawl.functions.columns import format_size
+from trawl.operators.catalog_ops import json_line, text_line
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -39,10 +38,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         out = catalog.search(args.query, limit=args.limit)
         if args.json:
-            print("\n".join(r[0] for r in out.select(F.to_json(F.struct("*"))).collect()))
+            print("\n".join(r[0] for r in out.select(json_line()).collect()))
         else:
-            text = F.concat_ws("  ", F.when(F.col("is_dir"), "[D]").otherwise("[F]"), "path", F.when(F.col("is_dir"), "-").otherwise(format_size(F.col("size"))), F.date_format("modified", "yyyy-MM-dd HH:mm"))
-            for rank, row in enumerate(out.select(text).collect(), 1):
+            for rank, row in enumerate(out.select(text_line()).collect(), 1):
                 print(f"{rank:4d}  {row[0]}")
     return 0
 

@@ -8,8 +8,8 @@ from enum import Enum
 
 #: One row a file or directory. Times are UTC without a zone, so results don't depend on the session's.
 CATALOG = "id long, name string, path string, extension string, size long, modified timestamp_ntz, is_dir boolean, content_hash string"
-#: Parent-pointer records of a volume's file table; file_time counts 100 ns since 1601.
-RECORDS = "file_ref long, parent_ref long, name string, is_dir boolean, file_time long"
+#: Parent-pointer records of a volume's file table; file_time counts 100 ns since 1601, seq is the place in the table.
+RECORDS = "file_ref long, parent_ref long, name string, is_dir boolean, file_time long, seq long"
 CHANGES = "event string, path string, origin string, at timestamp_ntz, seq long"
 RESULT_LIMIT = 500
 

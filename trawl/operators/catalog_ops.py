@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.columns import format_size
 from trawl.operators import trigrams
 
 
@@ -86,6 +87,39 @@ def directories(catalog: DataFrame) -> DataFrame:
     return catalog.filter("is_dir")
 
 
+def status_counts() -> list[Column]:
+    return [F.count_if(F.col("status") == s).alias(s) for s in ("indexed", "skipped", "error")]
+
+
 def scan_counters(rows: DataFrame) -> DataFrame:
     """Counts by status of scanned entries: indexed, skipped, error."""
-    return rows.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("indexed", "skipped", "error")])
+    return rows.agg(*status_counts())
+
+
+def id_sets(catalog: DataFrame) -> DataFrame:
+    """(kind, value, page, ids): the ids of each extension and of files and directories, as bitmaps of 32,768 ids.
+
+    A page has 4 KB whatever the number of its ids, and ids are set on both sides of the shuffle, so no set of ids is
+    gathered in one row.
+    """
+    kinds = F.array(F.struct(F.lit("extension").alias("kind"), F.col("extension").alias("value")), F.struct(F.lit("type").alias("kind"), F.when(F.col("is_dir"), "directory").otherwise("file").alias("value")))
+    rows = catalog.select("id", F.explode(kinds).alias("k")).select("id", "k.kind", "k.value").filter("value <> ''")
+    rows = rows.select("kind", "value", F.bitmap_bucket_number(F.col("id") + 1).alias("page"), F.bitmap_bit_position(F.col("id") + 1).alias("bit"))
+    return rows.groupBy("kind", "value", "page").agg(F.bitmap_construct_agg("bit").alias("ids"))
+
+
+def ids_of(sets: DataFrame, kind: str, value: str) -> DataFrame:
+    """The ids of one set."""
+    pages = sets.filter((F.col("kind") == kind) & (F.col("value") == value))
+    byte = pages.select("page", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("ids")), lambda i: F.conv(F.hex(F.substring("ids", i, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte")).filter("byte <> 0")
+    bits = byte.select("page", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit(F.col("byte"), b) == 1)).alias("bit"))
+    return bits.select(((F.col("page") - 1) * 32_768 + F.col("at") * 8 + F.col("bit")).alias("id"))
+
+
+def text_line() -> Column:
+    """A result as one line: sign, path, size, - for directories, and time to the minute."""
+    return F.concat_ws("  ", F.when(F.col("is_dir"), "[D]").otherwise("[F]"), "path", F.when(F.col("is_dir"), "-").otherwise(format_size(F.col("size"))), F.date_format("modified", "yyyy-MM-dd HH:mm"))
+
+
+def json_line() -> Column:
+    return F.to_json(F.struct("*"))

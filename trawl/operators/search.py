@@ -46,16 +46,26 @@ def matches(catalog: DataFrame, query: Query) -> DataFrame:
     return rows.withColumn("score", match_score(query.keywords)).filter("score > 0")
 
 
-def ranked(rows: DataFrame, query: Query, as_of) -> DataFrame:
-    """At most ``limit`` rows in order; the id breaks ties, in the direction of the sort."""
+def order_of(query: Query) -> list[Column]:
+    """The order of results; the id breaks ties, in the direction of the sort."""
     keys = {SortField.NAME: F.lower("name"), SortField.PATH: F.col("path"), SortField.SIZE: F.col("size"), SortField.MODIFIED: F.col("modified")}
     if query.sort_by is SortField.RELEVANCE:
-        rows, order = rows.withColumn("score", F.col("score") * recency(as_of)), [F.desc("score"), F.asc("id")]
-    elif query.sort_order is SortOrder.ASCENDING:
-        order = [keys[query.sort_by].asc(), F.asc("id")]
-    else:
-        order = [keys[query.sort_by].desc(), F.desc("id")]
-    return rows.orderBy(*order).limit(RESULT_LIMIT if query.limit is None else query.limit)
+        return [F.desc("score"), F.asc("id")]
+    if query.sort_order is SortOrder.ASCENDING:
+        return [keys[query.sort_by].asc(), F.asc("id")]
+    return [keys[query.sort_by].desc(), F.desc("id")]
+
+
+def ranked(rows: DataFrame, query: Query, as_of) -> DataFrame:
+    """At most ``limit`` rows in order."""
+    if query.sort_by is SortField.RELEVANCE:
+        rows = rows.withColumn("score", F.col("score") * recency(as_of))
+    return rows.orderBy(*order_of(query)).limit(RESULT_LIMIT if query.limit is None else query.limit)
+
+
+def limited(rows: DataFrame, limit: int) -> DataFrame:
+    """What a front end shows of a result: its own limit, which can't exceed a result's."""
+    return rows.limit(min(limit, RESULT_LIMIT))
 
 
 def with_snippets(rows: DataFrame, contents: DataFrame, keywords: tuple[str, ...]) -> DataFrame:

@@ -36,6 +36,27 @@ def postings(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.explode(codes(F.col("name"))).alias("trigram"), "id")
 
 
+def add(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The postings with those of new catalog rows."""
+    return table.unionByName(postings(rows))
+
+
+def remove(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The postings without those of ids (id); a trigram without ids is gone with its last row."""
+    return table.join(ids.select("id"), "id", "left_anti").select("trigram", "id")
+
+
+def legacy(text: Column) -> Column:
+    """All windows of three characters in their order, repeats kept; a shorter text is its own one, an empty one has none."""
+    low = F.lower(text)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
+    return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(windows)
+
+
+def legacy_hash(trigram: Column) -> Column:
+    return F.crc32(trigram)
+
+
 def candidates(table: DataFrame, keyword: str) -> DataFrame:
     """Ids that have every trigram of the keyword."""
     wanted = codes_of(keyword)

@@ -1,55 +1,107 @@
-"""The catalog's store: a new Parquet folder for each generation, then a swap of the file that names it."""
+"""The catalog's store: Parquet folders by buckets of paths, and a file that names those that count.
+
+A save writes new folders and then swaps the file, so readers see one state or the other. Changes rewrite the buckets
+of their paths alone. Folders may be in any store that Spark writes to.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.columns import derived
 from trawl.model import CATALOG, IndexStorageError
+from trawl.scratch import Files
+
+VERSION = 4
+#: Buckets of a new store, and rows that a bucket is meant to hold.
+LEAST_BUCKETS, PER_BUCKET = 4, 1_000_000
+COLUMNS = [c.split()[0] for c in CATALOG.split(", ")]
+
 
-VERSION = 3
+def _files() -> Files:
+    return Files(SparkSession.active())
 
 
 def exists(folder: str) -> bool:
-    return os.path.exists(os.path.join(folder, "meta.json"))
+    return _files().exists(f"{folder}/meta.json")
 
 
 def meta(folder: str) -> dict:
     try:
-        with open(os.path.join(folder, "meta.json")) as f:
-            return json.load(f)
-    except (OSError, ValueError) as e:
+        return json.loads(_files().read(f"{folder}/meta.json"))
+    except Exception as e:
         raise IndexStorageError(f"{folder}: {e}") from e
 
 
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def _write(rows: DataFrame, folder: str, generation: int, buckets: int) -> tuple[dict[str, str], DataFrame]:
+    """Folders by bucket of the rows written, and the rows."""
+    segment = f"segment-{generation}-{uuid.uuid4().hex[:8]}"
+    rows = derived(rows.select(*COLUMNS)).withColumn("_bucket", bucket_of(F.col("path"), buckets))
+    # large buckets are split over tasks by a second hash
+    rows.repartition("_bucket", F.pmod(F.xxhash64("path", F.lit(1)), F.lit(4))).write.partitionBy("_bucket").parquet(f"{folder}/{segment}")
+    found = {n.split("=")[1]: f"{segment}/{n}" for n in _files().names(f"{folder}/{segment}") if n.startswith("_bucket=")}
+    spark = rows.sparkSession
+    paths = [f"{folder}/{p}" for p in found.values()]
+    return found, spark.read.parquet(*paths) if paths else derived(spark.createDataFrame([], CATALOG))
+
+
+def _swap(folder: str, before: dict, out: dict) -> dict:
+    files = _files()
+    files.write(f"{folder}/meta.json", json.dumps(out))
+    gone = set(before.get("segments", {}).values()) - set(out["segments"].values())
+    for old in gone:
+        files.delete(f"{folder}/{old}")
+    kept = {p.split("/")[0] for p in out["segments"].values()}
+    for segment in {p.split("/")[0] for p in gone} - kept:
+        files.delete(f"{folder}/{segment}")
+    return out
+
+
 def save(catalog: DataFrame, folder: str) -> dict:
-    """Writes rows and search columns as a new generation; readers of the one before aren't disturbed until it goes."""
-    os.makedirs(folder, exist_ok=True)
+    """Writes rows and search columns as a new generation; the one before goes once the file is swapped."""
     before = meta(folder) if exists(folder) else {"generation": 0}
     generation = before["generation"] + 1
-    path = os.path.join(folder, f"segment-{generation}")
-    derived(catalog.select(*[c.split()[0] for c in CATALOG.split(", ")])).write.mode("overwrite").parquet(path)
-    stored = catalog.sparkSession.read.parquet(path)
+    buckets = before.get("buckets") or max(LEAST_BUCKETS, -(-catalog.count() // PER_BUCKET))
+    segments, stored = _write(catalog, folder, generation, buckets)
     counts = stored.agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()
-    out = {"version": VERSION, "generation": generation, "doc_count": counts["n"], "next_id": counts["last"] + 1, "created_at": int(time.time()), "segments": [os.path.basename(path)]}
-    temporary = os.path.join(folder, "meta.json.new")
-    with open(temporary, "w") as f:
-        json.dump(out, f)
-    os.replace(temporary, os.path.join(folder, "meta.json"))
-    for old in before.get("segments", []):
-        shutil.rmtree(os.path.join(folder, old), ignore_errors=True)
-    return out
+    out = {"version": VERSION, "generation": generation, "doc_count": counts["n"], "next_id": counts["last"] + 1, "created_at": int(time.time()), "buckets": buckets, "segments": segments}
+    return _swap(folder, before, out)
+
+
+def replace(folder: str, paths: DataFrame, change) -> dict:
+    """The store after ``change(rows)``, which may change rows of ``paths`` (path) alone: only their buckets are read and
+    written. change gets the rows of these buckets, and what it returns takes their place."""
+    before = meta(folder)
+    buckets, generation = before["buckets"], before["generation"] + 1
+    touched = sorted(r[0] for r in paths.select(bucket_of(F.col("path"), buckets)).distinct().collect())
+    if not touched:
+        return before
+    old = {str(b): before["segments"][str(b)] for b in touched if str(b) in before["segments"]}
+    spark = paths.sparkSession
+    rows = spark.read.parquet(*[f"{folder}/{p}" for p in old.values()]) if old else derived(spark.createDataFrame([], CATALOG))
+    counted = rows.count()
+    segments, stored = _write(change(rows.select(*COLUMNS)), folder, generation, buckets)
+    counts = stored.agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()
+    others = {b: p for b, p in before["segments"].items() if b not in old}
+    if set(others) & set(segments):
+        raise IndexStorageError("a change made rows of other paths")
+    out = before | {"generation": generation, "doc_count": before["doc_count"] - counted + counts["n"], "next_id": max(before["next_id"], counts["last"] + 1), "segments": others | segments}
+    return _swap(folder, before, out)
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """All segments; one that is missing is left out, a damaged one is an error when it is read."""
-    found = [p for p in (os.path.join(folder, s) for s in meta(folder)["segments"]) if os.path.exists(p)]
+    files = Files(spark)
+    found = [p for p in (f"{folder}/{s}" for s in meta(folder)["segments"].values()) if files.exists(p)]
     if not found:
         return derived(spark.createDataFrame([], CATALOG))
     return spark.read.parquet(*found)
@@ -61,8 +113,8 @@ def load_legacy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delete(folder: str) -> None:
-    shutil.rmtree(folder, ignore_errors=True)
+    _files().delete(folder)
 
 
 def size(folder: str) -> int:
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    return _files().size(folder)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.operators.catalog_ops import apply_changes
+from trawl.operators.catalog_ops import apply_changes, fold_changes
+from trawl.scratch import Files, materialise
 from trawl.sources import storage
 
 KINDS = ("Added", "Modified", "Removed", "Renamed")
@@ -37,6 +38,11 @@ def append_log(changes: DataFrame, path: str) -> None:
     changes.select(F.concat(F.lit('{"event_type":'), kind, F.lit(","), rest).alias("value")).write.mode("append").text(path)
 
 
+def clear_log(spark: SparkSession, path: str) -> None:
+    """Deletes the lines, a file or a folder of files; none is no error."""
+    Files(spark).delete(path)
+
+
 def from_watch(events: DataFrame) -> DataFrame:
     """(event, path, origin, at, seq) of watch events (kind, paths, at, seq): one row a path; other kinds are dropped."""
     names = F.create_map(*[F.lit(x) for x in ("Create", "Added", "Modify", "Modified", "Remove", "Removed")])
@@ -48,17 +54,14 @@ def follow(spark: SparkSession, log: str, folder: str, state: str, rows_of, sche
     """Applies new lines of the log to the stored catalog and ends when none are left.
 
     ``rows_of(paths)`` gives the catalog rows that added and modified paths have now. The catalog is the state: a
-    batch is folded by path, so replaying it gives the same catalog.
+    batch is folded by path, so replaying it gives the same catalog. Only buckets of paths that changed are rewritten.
     """
     lines = spark.readStream.text(log)
 
     def apply(batch: DataFrame, _number: int) -> None:
-        changes = parse_lines(batch).persist()
-        try:
-            current = storage.load(batch.sparkSession, folder).select(*[c for c in ("id", "name", "path", "extension", "size", "modified", "is_dir", "content_hash")])
-            paths = changes.filter("event <> 'Removed'").select("path").distinct()
-            storage.save(apply_changes(current, changes, rows_of(paths)), folder)
-        finally:
-            changes.unpersist()
+        changes = materialise(parse_lines(batch), "changes")
+        last = fold_changes(changes)
+        alive = last.filter("event <> 'Removed'").select("path")
+        storage.replace(folder, last.select("path"), lambda rows: apply_changes(rows, changes, rows_of(alive)))
 
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start()
