@@ -16,7 +16,7 @@ def test_tokens(raw, tokens):
     assert tokenize(raw) == tokens
 
 
-@pytest.mark.parametrize("raw", ['"a', "size:>=5", "size:x", "type:link", "modified:2024-13-01", "size:18446744073709551616", "modified:x"])
+@pytest.mark.parametrize("raw", ['"a', "size:>=5", "size:x", "type:link", "modified:2024-13-01", "size:18446744073709551616", "modified:x", "modified:9999-12-31", "modified:0000-01-01"])
 def test_errors(raw):
     with pytest.raises(ParseError):
         parse(raw)

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.functions import columns as fn
 from trawl.model import CATALOG, Filters, Query, SortField, SortOrder
@@ -117,3 +118,28 @@ def test_fold(spark):
     rows = [("Added", "/a", None, at, 1), ("Removed", "/a", None, at, 2), ("Added", "/a", None, at, 3), ("Renamed", "/c", "/b", at, 4), ("Added", "/b", None, at, 1), ("Removed", "/zzz", None, at, 9)]
     changes = spark.createDataFrame(rows, "event string, path string, origin string, at timestamp_ntz, seq long")
     assert {(r["path"], r["event"]) for r in catalog_ops.fold_changes(changes).collect()} == {("/a", "Added"), ("/b", "Removed"), ("/c", "Added"), ("/zzz", "Removed")}
+
+
+def brute_snippet(text, keyword, context=60):
+    """The snippet from plain loops over characters."""
+    owner = [i for i, c in enumerate(text) for _ in c.lower()]
+    low = "".join(c.lower() for c in text)
+    at = low.find(keyword)
+    if at < 0:
+        return None
+    first, last = max(owner[at] - context, 0), min(owner[at + len(keyword) - 1] + context, len(text) - 1)
+    back = next((i for i in range(first - 1, -1, -1) if text[i].isspace()), None)
+    ahead = next((i for i in range(last + 1, len(text)) if text[i].isspace()), None)
+    first = first if back is None else back + 1
+    last = last if ahead is None else ahead - 1
+    return ("..." if first > 0 else "") + text[first : last + 1].strip() + ("..." if last < len(text) - 1 else "")
+
+
+def test_snippets_of_any_text(spark):
+    """Characters whose lower case is longer, long words around the cut, and matches at both ends."""
+    dotted = "\u0130"
+    texts = [dotted * 30 + " before the word " + dotted * 90, dotted + "THE end", "the", "x" * 1000 + " the " + "y" * 1000, "x" * 1000 + "the" + "y" * 1000, "ab " * 200 + "x" * 300 + "The" + "z" * 300 + " cd" * 200]
+    texts += ["none", "", "a\u2003b " * 40 + "tHe" + " c\nd" * 40, "the " * 50, "q" * 70 + " the", "\U0001f600 " * 50 + "the" + " \U0001f600" * 50, ("i\u0307" + dotted) * 40 + " the x"]
+    for keyword in ("the", "e e", "i\u0307"):
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string").select("id", fn.snippet(F.col("content"), keyword).alias("s")).collect()
+        assert {r["id"]: r["s"] for r in rows} == {i: brute_snippet(t, keyword) for i, t in enumerate(texts)}

@@ -72,16 +72,64 @@ def derived(catalog: DataFrame) -> DataFrame:
     return catalog.withColumns({"name_lower": F.lower("name"), "path_lower": F.lower("path"), "name_key": name_key(F.col("name")), "stem": stem(F.col("name")), "parent": parent(F.col("path"))})
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _place(content: Column, place: Column) -> Column:
+    """The character of content from which the one at ``place`` in its lower case comes.
+
+    Capital dotted I alone has two characters in lower case; texts without it keep their places.
+    """
+    start = F.struct(F.lit(0).alias("low"), F.lit(0).alias("own"), F.lit(0).alias("found"))
+
+    def piece(s: Column, p: Column) -> Column:
+        n = F.length(p)
+        found = F.when(s["found"] > 0, s["found"]).when(place <= s["low"] + n, s["own"] + place - s["low"]).when(place <= s["low"] + n + 2, s["own"] + n + 1).otherwise(0)
+        return F.struct((s["low"] + n + 2).alias("low"), (s["own"] + n + 1).alias("own"), found.alias("found"))
+
+    return F.aggregate(F.split(content, "\u0130"), start, piece, lambda s: s["found"])
+
+
+#: Characters in which a word's end is looked for before the rest of a text is.
+NEAR = 256
+
+
 def snippet(content: Column, keyword: str, context: int = 60) -> Column:
-    """The first match with ``context`` characters on both sides, widened to white space; null without a match."""
-    found = F.instr(F.lower(content), keyword)
-    n = F.length(content)
-    first, last = F.greatest(found - context, F.lit(1)), F.least(found + len(keyword) - 1 + context, n)
-    head, tail = F.substring(content, F.lit(1), first - 1), F.substring(content, last + 1, n)
-    back = F.length(F.regexp_extract(F.reverse(head), r"(?U)^([^\s]*)", 1))  # reversed, so that the match is anchored
-    ahead = F.length(F.regexp_extract(tail, r"(?U)^([^\s]*)", 1))
-    first = F.when(back < F.length(head), first - back).otherwise(first)
-    last = F.when(ahead < F.length(tail), last + ahead).otherwise(last)
-    text = F.regexp_replace(F.substring(content, first, last - first + 1), r"(?U)^\s+|\s+\z", "")
-    out = F.concat(F.when(first > 1, F.lit("...")).otherwise(F.lit("")), text, F.when(last < n, F.lit("...")).otherwise(F.lit("")))
-    return F.when(found > 0, out)
+    """The first match with ``context`` characters on both sides, widened to white space; null without a match.
+
+    A match is one in lower case; places in it are taken back to the text itself.
+    """
+
+    def match(s: Column) -> Column:
+        same = F.length(s["c"]) == F.length(s["low"])
+        end = s["at"] + len(keyword) - 1
+        return F.struct(s["c"].alias("c"), F.length(s["c"]).alias("n"), F.when(same, s["at"]).otherwise(_place(s["c"], s["at"])).alias("a"), F.when(same, end).otherwise(_place(s["c"], end)).alias("b"))
+
+    def cut(s: Column) -> Column:
+        return F.struct(s["c"].alias("c"), s["n"].alias("n"), F.greatest(s["a"] - context, F.lit(1)).alias("first"), F.least(s["b"] + context, s["n"]).alias("last"))
+
+    def widen(s: Column) -> Column:
+        c, n, first, last = s["c"], s["n"], s["first"], s["last"]
+        word = r"(?U)^([^\s]*)"
+        # the text before is reversed, so that the pattern is anchored; near the cut first
+        back = lambda least: F.length(F.regexp_extract(F.reverse(F.substring(c, least, first - least)), word, 1))
+        ahead = lambda most: F.length(F.regexp_extract(F.substring(c, last + 1, most), word, 1))
+        near = F.greatest(first - NEAR, F.lit(1))
+        left = _let(back(near), lambda k: F.when((k < first - near) | (near == 1), k).otherwise(back(F.lit(1))))
+        right = _let(ahead(F.lit(NEAR)), lambda k: F.when((k < NEAR), k).otherwise(ahead(n)))
+        # without white space on a side, the cut stays
+        return F.struct(c.alias("c"), n.alias("n"), _let(left, lambda k: F.when(k < first - 1, first - k).otherwise(first)).alias("first"), _let(right, lambda k: F.when(k < n - last, last + k).otherwise(last)).alias("last"))
+
+    def show(s: Column) -> Column:
+        text = F.regexp_replace(F.substring(s["c"], s["first"], s["last"] - s["first"] + 1), r"(?U)^\s+|\s+\z", "")
+        return F.concat(F.when(s["first"] > 1, F.lit("...")).otherwise(F.lit("")), text, F.when(s["last"] < s["n"], F.lit("...")).otherwise(F.lit("")))
+
+    def found(s: Column) -> Column:
+        return F.when(s["at"] > 0, _let(match(s), lambda m: _let(cut(m), lambda k: _let(widen(k), show))))
+
+    def place(s: Column) -> Column:
+        return F.struct(s["c"].alias("c"), s["low"].alias("low"), F.instr(s["low"], keyword).alias("at"))
+
+    return _let(F.struct(content.alias("c"), F.lower(content).alias("low")), lambda s: _let(place(s), found))

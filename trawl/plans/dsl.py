@@ -49,6 +49,13 @@ def parse_date(text: str) -> datetime:
         raise ParseError(f"{text!r}: {e}") from e
 
 
+def _next_day(day: datetime) -> datetime:
+    try:
+        return day + timedelta(days=1)
+    except OverflowError as e:
+        raise ParseError(f"no day follows {day:%Y-%m-%d}") from e
+
+
 def _bounds(value: str, parse, upper):
     """(least, most) of >x, <x and x; all bounds are inclusive."""
     if value.startswith(">"):
@@ -71,7 +78,7 @@ def parse(raw: str) -> Query:
             low, high = _bounds(v, _number, lambda n: n)
             filters = replace(filters, **{k: x for k, x in (("size_min", low), ("size_max", high)) if x is not None})
         elif (v := _after(term, "modified:")) is not None:
-            low, high = _bounds(v, parse_date, lambda d: d + timedelta(days=1))
+            low, high = _bounds(v, parse_date, _next_day)
             filters = replace(filters, **{k: x for k, x in (("modified_after", low), ("modified_before", high)) if x is not None})
         elif (v := _after(term, "type:")) is not None:
             if v.lower() not in _TYPES:
