@@ -6,7 +6,7 @@ import pytest
 from trawl.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer documents part orders events pages".split()
+TABLES = "region nation customer supplier documents part orders events pages".split()
 
 
 @pytest.fixture(scope="module")

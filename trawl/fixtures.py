@@ -48,13 +48,30 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and customers as parent-pointer records; the regions' parent is missing."""
-    cols = "file_ref long, parent_ref long, name string, is_dir boolean"
-    names = [c.split()[0] for c in cols.split(", ")]
-    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long"), F.lit(-1).cast("long"), "r_name", F.lit(True)).toDF(*names)
-    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long"), F.col("n_regionkey").cast("long"), "n_name", F.lit(True)).toDF(*names)
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 10_000).cast("long"), (F.col("c_nationkey") + 100).cast("long"), "c_name", F.lit(False)).toDF(*names)
-    return r.unionByName(n).unionByName(c)
+    """Regions, nations and customers as parent-pointer records, and suppliers below a root that is its own parent.
+
+    The regions' parent is missing. Every tenth customer has an older record with another name and parent, too.
+    """
+    names = ["file_ref", "parent_ref", "name", "is_dir", "file_time", "seq"]
+
+    def rows(name: str, ref, parent, label, is_dir: bool, seq: int) -> DataFrame:
+        ticks = F.lit(133_500_000_000_000_000) + ref * F.lit(10_000_000)
+        return table(spark, sf_dir, name).select(ref, parent, label, F.lit(is_dir), ticks, ref + seq).toDF(*names)
+
+    c = F.col
+    nation, customer = c("n_nationkey").cast("long") + 100, c("c_custkey").cast("long") + 10_000
+    parts = [
+        rows("region", c("r_regionkey").cast("long"), F.lit(-1).cast("long"), c("r_name"), True, 0),
+        rows("nation", nation, c("n_regionkey").cast("long"), c("n_name"), True, 0),
+        rows("customer", customer, c("c_nationkey").cast("long") + 100, c("c_name"), False, 10_000_000),
+        rows("customer", customer, F.lit(0).cast("long"), F.concat(F.lit("old "), "c_name"), False, 0).filter("file_ref % 10 = 0"),
+        rows("supplier", c("s_suppkey").cast("long") + 5_000_000, F.lit(5).cast("long"), F.concat("s_name", F.lit(".TXT")), False, 0),
+        rows("region", F.lit(5).cast("long"), F.lit(5).cast("long"), F.lit("."), True, 0).limit(1).withColumn("name", F.lit("root")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

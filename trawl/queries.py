@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +11,12 @@ from trawl import fixtures as fx
 from trawl.functions import columns as fn
 from trawl.model import SortField, SortOrder
 from trawl.operators import catalog_ops, search, trigrams
-from trawl.operators.filters import excluded
-from trawl.operators.hierarchy import resolve_paths
+from trawl.operators.filters import excluded, glob
+from trawl.operators.hierarchy import clean_records, resolve_paths
 from trawl.plans import dsl
+from trawl.scratch import new_path
+from trawl.sources import files, storage
+from trawl.sources import records as volume_records
 from trawl.streaming import changes as log
 
 QUERIES: dict = {}
@@ -87,6 +88,10 @@ for _name, _raw, _words, _where, _base in (
     ("filter_modified_after", "modified:>2024-01-20", [], "modified >= TIMESTAMP '2024-01-20'", fx.catalog),
     ("filter_modified_before", "modified:<2024-01-05", [], "modified <= TIMESTAMP '2024-01-05'", fx.catalog),
     ("filter_modified_day", "modified:2024-01-10", [], "modified >= TIMESTAMP '2024-01-10' AND modified <= TIMESTAMP '2024-01-11'", fx.catalog),
+    ("filter_modified_unpadded", "modified:>2024-1-5", [], "modified >= TIMESTAMP '2024-01-05'", fx.catalog),
+    ("filter_prefix_in_capitals", "EXT:Md SIZE:>100", [], "extension = 'md' AND size >= 100", fx.catalog),
+    ("filter_last_term_counts", "ext:md ext:txt size:>10 size:>900", [], "extension = 'txt' AND size >= 900", fx.catalog),
+    ("filter_quoted_term", '"path:/en/src1"', [], "contains(pl, '/en/src1')", fx.catalog),
     ("filter_type_file", "type:file", [], "NOT is_dir", fx.catalog),
     ("filter_type_dir", "type:folder", [], "is_dir", fx.catalog),
 ):
@@ -195,7 +200,8 @@ _add("format_size", format_size, f"WITH {_CATALOG} SELECT id, size, CASE WHEN si
 
 
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.contents(spark, sf_dir).select("id", fn.snippet(F.col("content"), "the").alias("snippet")).filter("snippet is not null")
+    rows = fx.contents(spark, sf_dir).filter(F.lower("content").contains("the"))
+    return rows.select("id", fn.snippet(F.col("content"), "the").alias("snippet"))
 
 
 _add(
@@ -239,15 +245,41 @@ def mft_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_paths(fx.records(spark, sf_dir), "C:\\").select("file_ref", "path", F.col("depth").cast("long").alias("depth"))
 
 
+_RECORDS = r"""all_r AS (SELECT r_regionkey::BIGINT AS file_ref, -1::BIGINT AS parent_ref, r_name AS name, true AS is_dir, 0 AS seq FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name, true, 0 FROM nation
+        UNION ALL SELECT 10000 + c_custkey, 100 + c_nationkey, c_name, false, 1 FROM customer UNION ALL SELECT 10000 + c_custkey, 0, 'old ' || c_name, false, 0 FROM customer WHERE c_custkey % 10 = 0
+        UNION ALL SELECT 5000000 + s_suppkey, 5, s_name || '.TXT', false, 0 FROM supplier UNION ALL SELECT 5, 5, 'root', true, 0),
+    r AS (SELECT file_ref, arg_max(parent_ref, seq) AS parent_ref, arg_max(name, seq) AS name, bool_or(is_dir) AS is_dir FROM all_r GROUP BY file_ref),
+    t AS (SELECT file_ref, name AS path, 1::BIGINT AS depth, name, is_dir FROM r WHERE file_ref <> parent_ref AND parent_ref NOT IN (SELECT file_ref FROM r WHERE file_ref <> parent_ref)
+          UNION ALL SELECT r.file_ref, t.path || '\' || r.name, t.depth + 1, r.name, r.is_dir FROM r JOIN t ON r.parent_ref = t.file_ref WHERE r.file_ref <> r.parent_ref)"""
+_add("mft_paths", mft_paths, rf"WITH RECURSIVE {_RECORDS} SELECT file_ref, 'C:\' || path AS path, depth FROM t")
+
+
+def mft_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two volumes of the same records, one without files, and without a nation whose name is excluded."""
+    rows = fx.records(spark, sf_dir)
+    out = volume_records.scan_volumes({"C": rows, "D": rows.filter("is_dir")}, ["France"])
+    return out.select("id", "name", "path", "extension", "size", "is_dir", F.col("modified").isNotNull().alias("has_time"))
+
+
 _add(
-    "mft_paths",
-    mft_paths,
-    r"""WITH RECURSIVE r AS (SELECT r_regionkey::BIGINT AS file_ref, -1::BIGINT AS parent_ref, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation UNION ALL SELECT 10000 + c_custkey, 100 + c_nationkey, c_name FROM customer),
-    t AS (SELECT file_ref, 'C:\' || name AS path, 1::BIGINT AS depth FROM r WHERE parent_ref NOT IN (SELECT file_ref FROM r) UNION ALL SELECT r.file_ref, t.path || '\' || r.name, t.depth + 1 FROM r JOIN t ON r.parent_ref = t.file_ref)
-    SELECT file_ref, path, depth FROM t""",
+    "mft_volumes",
+    mft_volumes,
+    rf"""WITH RECURSIVE {_RECORDS}, v AS (SELECT *, 'C:\' || path AS full_path FROM t UNION ALL SELECT *, 'D:\' || path FROM t WHERE is_dir)
+    SELECT file_ref AS id, name, full_path AS path, CASE WHEN name LIKE '%.TXT' THEN 'txt' ELSE '' END AS extension, 0::BIGINT AS size, is_dir, true AS has_time FROM v WHERE NOT list_contains(string_split(lower(full_path), '\'), 'france')""",
 )
 
 
+def mft_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose upper bits hold something else, and names that don't count."""
+    name = F.when(F.col("n_nationkey") == 3, ".").when(F.col("n_nationkey") == 4, "..").when(F.col("n_nationkey") == 5, "").otherwise(F.col("n_name"))
+    upper = F.col("n_regionkey").cast("long") * F.lit(1 << 48)
+    rows = fx.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + upper).alias("file_ref"), (F.col("n_regionkey") + upper).alias("parent_ref"), name.alias("name"))
+    return clean_records(rows)
+
+
+_add("mft_clean", mft_clean, "SELECT n_nationkey::BIGINT AS file_ref, n_regionkey::BIGINT AS parent_ref, n_name AS name FROM nation WHERE n_nationkey NOT IN (3, 4, 5)")
+
+
 def mft_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = (F.col("o_orderkey") * 12_345_678_901 + 116_444_736_000_000_000).cast("long")
     at = fn.from_file_time(ticks)
@@ -291,8 +323,7 @@ _add("catalog_remove", catalog_remove, f"WITH l AS ({_LAST}) SELECT '/users/' ||
 
 def wal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log written as lines and replayed by a stream that ends when it has read all."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trawl-")
-    base = f"{base.rstrip('/')}/wal-{os.urandom(8).hex()}"
+    base = new_path(spark, "wal")
     log.append_log(fx.changes(spark, sf_dir), f"{base}/log")
     lines = log.parse_lines(spark.readStream.text(f"{base}/log"))
     lines.drop("seq").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
@@ -329,3 +360,248 @@ def plugin_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("plugin_hooks", plugin_hooks, f"SELECT id, score * 2 AS score, 'seen' AS content_hash FROM ({_search_sql(['src2'])})")
+
+
+def search_front_end_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = dsl.normalise(dsl.parse("src"))
+    out = search.limited(search.search(fx.catalog(spark, sf_dir), query, fx.AS_OF), 50)
+    return out.select("id", "score")
+
+
+_add("search_front_end_limit", search_front_end_limit, f"SELECT id, score FROM ({_search_sql(['src'])}) WHERE rank <= 50")
+
+
+def glob_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.catalog(spark, sf_dir)
+    return rows.select("id", *[glob(F.col("name"), p).alias(c) for c, p in (("every", "*"), ("ends", "*7.md"), ("begins", "src1*"), ("equal", "src1"), ("capitals", "SRC1*"))])
+
+
+_add("glob_names", glob_names, f"WITH {_CATALOG} SELECT id, true AS every, ends_with(name, '7.md') AS ends, starts_with(name, 'src1') AS begins, name = 'src1' AS equal, starts_with(name, 'SRC1') AS capitals FROM base")
+
+
+def filter_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any predicate on the columns of the catalog."""
+    return fx.catalog(spark, sf_dir).filter((F.col("size") % 2 == 0) & F.col("name").contains("_1")).select("id", "size")
+
+
+_add("filter_by_function", filter_by_function, f"WITH {_CATALOG} SELECT id, size FROM base WHERE size % 2 = 0 AND contains(name, '_1')")
+
+
+def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.catalog(spark, sf_dir)
+    own = {"extension": catalog_ops.by_extension(rows, "MD"), "no extension": catalog_ops.by_extension(rows, ""), "files": catalog_ops.files(rows), "directories": catalog_ops.directories(rows)}
+    return catalog_ops.union_roots([r.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("last_id")) for k, r in own.items()])
+
+
+_add(
+    "accessors",
+    accessors,
+    f"""WITH {_CATALOG} SELECT 'extension' AS kind, count(*) AS n, max(id) AS last_id FROM base WHERE extension = 'md' UNION ALL SELECT 'no extension', 0, 0
+    UNION ALL SELECT 'files', count(*), max(id) FROM base WHERE NOT is_dir UNION ALL SELECT 'directories', count(*), max(id) FROM base WHERE is_dir""",
+)
+
+
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_ops.id_sets(fx.catalog(spark, sf_dir)).select("kind", "value", "page", F.bitmap_count("ids").alias("n"))
+
+
+_KINDS = "k AS (SELECT id, 'extension' AS kind, extension AS value FROM base WHERE extension <> '' UNION ALL SELECT id, 'type', CASE WHEN is_dir THEN 'directory' ELSE 'file' END FROM base)"
+_add("id_sets", id_sets, f"WITH {_CATALOG}, {_KINDS} SELECT kind, value, id // 32768 + 1 AS page, count(*) AS n FROM k GROUP BY ALL")
+
+
+def id_set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = catalog_ops.id_sets(fx.catalog(spark, sf_dir))
+    return catalog_ops.ids_of(sets, "extension", "json").unionByName(catalog_ops.ids_of(sets, "type", "directory"))
+
+
+_add("id_set_members", id_set_members, f"WITH {_CATALOG}, {_KINDS} SELECT id FROM k WHERE kind = 'extension' AND value = 'json' OR kind = 'type' AND value = 'directory'")
+
+
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.catalog(spark, sf_dir)
+    status = F.when(excluded(F.col("path"), ["fr"]), "skipped").when(F.col("id") % 11 == 0, "error").otherwise("indexed")
+    return catalog_ops.scan_counters(rows.select(status.alias("status")))
+
+
+_add("scan_counters", scan_counters, f"WITH {_CATALOG}, s AS (SELECT CASE WHEN list_contains(string_split(path, '/'), 'fr') THEN 'skipped' WHEN id % 11 = 0 THEN 'error' ELSE 'indexed' END AS status FROM base) SELECT count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS error FROM s")
+
+
+def content_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.catalog(spark, sf_dir)
+    return rows.select("id", files.allowed(F.col("extension")).alias("by_default"), files.allowed(F.upper("extension"), ["md", "BIN"]).alias("by_list"))
+
+
+_add("content_allowed", content_allowed, f"WITH {_CATALOG} SELECT id, extension IN ('txt', 'md', 'json', 'log') AS by_default, extension = 'md' AS by_list FROM base")
+
+
+def trigram_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after rows were removed and others added."""
+    rows = fx.parts(spark, sf_dir)
+    gone = rows.filter("id % 3 = 0")
+    table = trigrams.add(trigrams.remove(trigrams.postings(rows), gone), gone.withColumn("name", F.reverse("name")))
+    return table.groupBy("trigram").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+_add(
+    "trigram_update",
+    trigram_update,
+    f"""WITH {_PARTS}, changed AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN reverse(name) ELSE name END AS name) FROM base),
+    cat AS (SELECT id, CASE WHEN length(name) BETWEEN 1 AND 2 THEN rpad(lower(name), 3, ' ') ELSE lower(name) END AS nk FROM changed),
+    p AS (SELECT unnest({_CODES}) AS trigram, id FROM cat) SELECT trigram, count(*) AS n, min(id) AS first_id FROM p GROUP BY trigram""",
+)
+
+
+def trigram_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with repeats, of whole names and of the names' first two characters."""
+    rows = fx.parts(spark, sf_dir)
+    codes = trigrams.legacy(F.col("name"))
+    return rows.select("id", F.array_join(codes, "|").alias("windows"), F.array_join(trigrams.legacy(F.substring("name", 1, 2)), "|").alias("short"), (trigrams.legacy_hash(codes[0]) > 0).alias("hashed"))
+
+
+_add("trigram_legacy", trigram_legacy, f"WITH {_PARTS} SELECT id, array_to_string(list_transform(range(1, length(name) - 1), lambda i: substr(lower(name), i, 3)), '|') AS windows, lower(name[1:2]) AS short, true AS hashed FROM base")
+
+
+def path_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents as they are shown, and both kinds of separators."""
+    path = F.regexp_replace("url", r"[?#].*\z", "")
+    rows = fx.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(path, "^https?:/", "").alias("path"))
+    return rows.select("page_id", fn.display_parent(F.col("path")).alias("shown"), fn.windows_path(F.concat(F.lit("\\\\?\\"), "path")).alias("windows"), fn.unix_path(fn.windows_path(F.col("path"))).alias("unix"))
+
+
+_add(
+    "path_forms",
+    path_forms,
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*\z', ''), '^https?:/', '') AS path FROM pages), q AS (SELECT *, regexp_extract(path, '^(.*)[/\\]', 1) AS parent FROM p)
+    SELECT page_id, CASE WHEN parent = '' THEN path ELSE parent END AS shown, replace(path, '/', '\') AS windows, path AS unix FROM q""",
+)
+
+
+def times_since_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates moved back so that some come before 1970."""
+    at = F.col("o_orderdate").cast("timestamp_ntz") - F.make_dt_interval(F.lit(9500))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(fn.since_epoch(at), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+_add("times_since_epoch", times_since_epoch, "SELECT o_orderkey, strftime(greatest(CAST(o_orderdate AS TIMESTAMP) - to_days(9500), TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS at FROM orders")
+
+
+def results_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = dsl.normalise(dsl.parse("src1"))
+    return search.search(fx.catalog(spark, sf_dir), query, fx.AS_OF).select("id", catalog_ops.text_line().alias("line"))
+
+
+_add(
+    "results_as_text",
+    results_as_text,
+    f"""WITH {_CATALOG}, q AS ({_search_sql(['src1'])})
+    SELECT base.id, CASE WHEN is_dir THEN '[D]' ELSE '[F]' END || '  ' || base.path || '  ' || CASE WHEN is_dir THEN '-' WHEN base.size >= 1048576 THEN printf('%.2f MB', base.size / 1048576.0::DOUBLE) WHEN base.size >= 1024 THEN printf('%.2f KB', base.size / 1024.0::DOUBLE) ELSE base.size || ' B' END || '  ' || strftime(modified, '%Y-%m-%d %H:%M') AS line
+    FROM base JOIN q ON q.id = base.id""",
+)
+
+
+def results_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = dsl.normalise(dsl.parse("src1 ext:md"))
+    rows = search.search(fx.catalog(spark, sf_dir), query, fx.AS_OF).select("id", "name", "path", "size", "is_dir")
+    return rows.select("id", catalog_ops.json_line().alias("line"))
+
+
+_add("results_as_json", results_as_json, f"""WITH q AS ({_search_sql(['src1'], "extension = 'md'")}) SELECT id, '{{"id":' || id || ',"name":"' || name || '","path":"' || path || '","size":' || size || ',"is_dir":false}}' AS line FROM q""")
+
+
+def volume_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of mounts made of nations: some virtual, some at no path, some lines too short."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ext4", "proc", "xfs", "tmpfs")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    point = F.when(F.col("n_nationkey") % 5 == 0, "none").otherwise(F.concat(F.lit("/mnt/"), F.replace("n_name", F.lit(" "), F.lit("_"))))
+    line = F.when(F.col("n_nationkey") % 7 == 0, F.concat_ws(" ", F.lit("dev"), point)).otherwise(F.concat_ws(" ", F.lit("dev"), point, kind, F.lit("rw 0 0")))
+    path = new_path(spark, "mounts")
+    fx.table(spark, sf_dir, "nation").select(line.alias("value")).write.text(path)
+    return files.volumes(spark, path)
+
+
+_add("volume_list", volume_list, "SELECT '/mnt/' || replace(n_name, ' ', '_') AS mount_point, CASE n_nationkey % 4 WHEN 0 THEN 'ext4' ELSE 'xfs' END AS fs_type FROM nation WHERE n_nationkey % 4 IN (0, 2) AND n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0")
+
+
+def watch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watch events with two paths each, some of a kind that doesn't count."""
+    kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Remove").when(F.col("event_type") == "view", "Modify").otherwise("Access")
+    e = fx.table(spark, sf_dir, "events")
+    rows = e.select(kind.alias("kind"), F.array(F.concat(F.lit("/users/"), "user_id"), F.lit("/all")).alias("paths"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return log.from_watch(rows).select("event", "path", "seq")
+
+
+_add("watch_events", watch_events, "SELECT CASE event_type WHEN 'signup' THEN 'Added' WHEN 'error' THEN 'Removed' ELSE 'Modified' END AS event, unnest(['/users/' || user_id, '/all']) AS path, event_id AS seq FROM events WHERE event_type IN ('signup', 'error', 'view')")
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log in which purchases move a path."""
+    e = fx.table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("seq"))
+    rows = fx.changes(spark, sf_dir).join(e.withColumn("moved", F.lit(True)), "seq", "left")
+    to = F.concat(F.lit("/moved"), "path")
+    return rows.select(F.when(F.col("moved"), "Renamed").otherwise(F.col("event")).alias("event"), F.when(F.col("moved"), to).otherwise(F.col("path")).alias("path"), F.when(F.col("moved"), F.col("path")).alias("origin"), "at", "seq")
+
+
+def wal_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_ops.fold_changes(_moves(spark, sf_dir)).select("path", "event", "seq")
+
+
+_MOVES = """m AS (SELECT CASE event_type WHEN 'purchase' THEN '/moved' ELSE '' END || '/users/' || user_id AS path, CASE event_type WHEN 'signup' THEN 'Added' WHEN 'purchase' THEN 'Added' WHEN 'error' THEN 'Removed' ELSE 'Modified' END AS event, ts, event_id AS seq FROM events
+    UNION ALL SELECT '/users/' || user_id, 'Removed', ts, event_id FROM events WHERE event_type = 'purchase'),
+    l AS (SELECT path, arg_max(event, (ts, seq, event <> 'Removed')) AS event, arg_max(seq, (ts, seq, event <> 'Removed')) AS seq FROM m GROUP BY path)"""
+_add("wal_renames", wal_renames, f"WITH {_MOVES} SELECT path, event, seq FROM l")
+
+
+def _now(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:
+    """Catalog rows that paths have now."""
+    name = fn.file_name(F.col("path"))
+    return paths.select(F.xxhash64("path").alias("id"), name.alias("name"), "path", F.lit("").alias("extension"), F.length("path").cast("long").alias("size"), F.lit(fx.BASE).cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_dir"), F.lit(None).cast("string").alias("content_hash"))
+
+
+def store_follows_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored catalog that a stream of changes keeps current, by rewriting the buckets that change."""
+    base = new_path(spark, "store")
+    users = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("/users/"), "user_id").alias("path")).distinct()
+    storage.save(_now(spark, sf_dir, users.unionByName(users.select(F.concat(F.lit("/kept"), "path").alias("path")))), base)
+    log.append_log(_moves(spark, sf_dir), f"{base}-log")
+    log.follow(spark, f"{base}-log", base, f"{base}-state", lambda paths: _now(spark, sf_dir, paths)).awaitTermination()
+    return storage.load(spark, base).select("path", "size", "name_lower")
+
+
+_add("store_follows_log", store_follows_log, f"WITH {_MOVES} SELECT path, length(path) AS size, lower(regexp_extract(path, '([^/]*)\\z', 1)) AS name_lower FROM (SELECT path FROM l WHERE event <> 'Removed' UNION ALL SELECT DISTINCT '/kept/users/' || user_id FROM events)".replace("\\\\", "\\"))
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved twice, the second time without directories, and loaded."""
+    base = new_path(spark, "store")
+    rows = fx.catalog(spark, sf_dir)
+    storage.save(rows, base)
+    storage.save(rows.filter("not is_dir"), base)
+    info = storage.meta(base)
+    out = storage.load(spark, base).select("id", "path", "size", "name_lower", "name_key")
+    return out.withColumns({"generation": F.lit(info["generation"]).cast("long"), "stored": F.lit(info["doc_count"]).cast("long"), "has_bytes": F.lit(storage.size(base) > 0)})
+
+
+_add("store_round_trip", store_round_trip, f"WITH {_CATALOG}, {_DERIVED} SELECT id, path, size, nl AS name_lower, nk AS name_key, 2::BIGINT AS generation, count(*) OVER () AS stored, true AS has_bytes FROM cat WHERE NOT is_dir")
+
+
+def store_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is one JSON array of rows."""
+    path = new_path(spark, "legacy")
+    rows = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("/"), "r_name").alias("path"), F.lit("").alias("extension"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_dir"))
+    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    return storage.load_legacy(spark, path).select("id", "path", "is_dir", F.col("modified").isNull().alias("no_time"))
+
+
+_add("store_legacy", store_legacy, "SELECT r_regionkey::BIGINT AS id, '/' || r_name AS path, true AS is_dir, true AS no_time FROM region")
+
+
+def wal_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is cleared between two appends."""
+    path = new_path(spark, "wal")
+    rows = fx.changes(spark, sf_dir)
+    log.append_log(rows, path)
+    log.clear_log(spark, path)
+    log.append_log(rows.filter("event = 'Added'"), path)
+    return log.read_log(spark, path).groupBy("event").agg(F.count("*").alias("n"))
+
+
+_add("wal_clear", wal_clear, "SELECT 'Added' AS event, count(*) AS n FROM events WHERE event_type = 'signup' HAVING count(*) > 0")
