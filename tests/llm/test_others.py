@@ -62,6 +62,41 @@ def test_groups_of_a_table_of_copies(spark, sizes):
         assert not cut
 
 
+def best_cut(sizes, shards, total):
+    """The least number of pairs of equal texts in different shards, over all ways to fill shards of equal rows."""
+    rooms = tuple(total // shards + (s < total % shards) for s in range(shards))
+    seen = {}
+
+    def search(i, left):
+        if i == len(sizes):
+            return 0
+        if (i, key := tuple(sorted(left))) not in seen:
+            best = 10**9
+            for parts in itertools.product(*[range(min(sizes[i], x) + 1) for x in key]):
+                if sum(parts) == sizes[i]:
+                    cut = (sizes[i] ** 2 - sum(x * x for x in parts)) // 2
+                    best = min(best, cut + search(i + 1, tuple(a - b for a, b in zip(key, parts, strict=True))))
+            seen[i, key] = best
+        return seen[i, key]
+
+    return search(0, rooms)
+
+
+@pytest.mark.parametrize(("sizes", "shards"), [((4, 3, 3, 2), 3), ((5, 2, 2, 1, 1, 1), 2), ((3, 3, 3, 3, 1, 1, 1), 4)])
+def test_cut_beside_the_best(spark, sizes, shards):
+    """The cut edges against the best of all assignments of tiny tables, where dealing leaves fewer cut groups than shards."""
+    rows = [(i, g) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    got = sharding.propagate(spark.createDataFrame(rows, "row long, grp long"), shards).collect()
+    counts = collections.Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(got) == len(rows)
+    homes = collections.defaultdict(collections.Counter)
+    for r in got:
+        homes[r["grp"]][r["shard"]] += 1
+    cut = sum((sum(h.values()) ** 2 - sum(n * n for n in h.values())) // 2 for h in homes.values())
+    best = best_cut(sizes, shards, len(rows))
+    assert best <= cut <= best + max(sizes) * (shards - 1) and sum(len(h) > 1 for h in homes.values()) < shards
+
+
 @given(st.dictionaries(st.tuples(st.integers(0, 3), st.integers(0, 3)), st.integers(0, 20)), st.dictionaries(st.integers(0, 3), st.integers(0, 10)))
 def test_quotas_balance(asked, free):
     moves, back = sharding.quotas(asked, free, 4)
@@ -301,7 +336,7 @@ def test_pipeline(spark, docs, benchmark):
 
 def test_pipeline_leaves_stages_only(spark):
     import corpus_pipeline
-    from trawl.llm.store import shared_folder
+    from trawl.scratch import shared_folder
 
     folder = pathlib.Path(shared_folder(spark).removeprefix("file://"), "trawl")
     before = set(folder.iterdir()) if folder.exists() else set()

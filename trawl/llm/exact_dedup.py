@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm import bitmaps
 from trawl.llm.skew import join_by_size
-from trawl.llm.store import materialise, shared_folder, written
+from trawl.llm.store import materialise, written
+from trawl.scratch import new_path
 
 ENTRY = "digest binary, keep_id long, n long"
 
@@ -39,7 +40,7 @@ class DigestIndex:
         if keep not in ("min", "max"):
             raise ValueError("keep is 'min' or 'max'")
         self.spark, self.keep = spark, keep
-        self.folder = folder or written(f"{shared_folder(spark)}/trawl/digests-{uuid.uuid4().hex}")
+        self.folder = folder or written(new_path(spark, "digests"))
         self.runs: list[str] = []
         self.compacted: str | None = None
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import kernel
 from trawl.llm.labelled import fold, sample, sampled_texts, training_rows
-from trawl.llm.store import bounded_batches
+from trawl.llm.store import bounded_batches, temporary
 
 #: Rows of each class that a fit takes at most.
 PER_CLASS = 3000
@@ -146,7 +146,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     Null and empty texts are scored by their statistics like others. A null id is in no fold: held_out is false.
     Repeated rows score alike; an empty table gives no rows; other columns of docs don't matter.
     """
-    model = model or train(docs, labels, folds, held_out, id_col=id_col, text_col=text_col)
+    if model is None:
+        with temporary(docs.sparkSession):
+            model = train(docs, labels, folds, held_out, id_col=id_col, text_col=text_col)
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -163,7 +165,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; decided while reading, without a shuffle."""
-    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    with temporary(docs.sparkSession):
+        model = train(docs, labels, id_col=id_col, text_col=text_col)
     names = docs.columns
     at = names.index(text_col)
 

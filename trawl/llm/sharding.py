@@ -10,13 +10,17 @@ still cut then are dealt one after the other into the rows that they hold, so fe
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.ranking import PER_BUCKET, gapless
 from trawl.llm.skew import join_by_size
-from trawl.llm.store import materialise
+from trawl.llm.store import materialise, settle
 
+log = logging.getLogger(__name__)
+#: Rounds that are run at most, or four a shard if that is more; reaching it is logged.
 ROUNDS = 12
 
 
@@ -130,6 +134,8 @@ def _rounds(state: DataFrame, held: dict[int, int], total: int, rounds: int) ->
         if votes.isEmpty():
             return state, None
         if turn == rounds or idle == 2:
+            if idle < 2:
+                log.warning("moves of round %d were still granted: shards keep what they have reached", rounds)
             break
         free = dict(state.filter("not linked").groupBy("shard").count().collect())
         after = _round(state, votes, held, free, total, turn, turn % 2 == 1 or not free)
@@ -170,6 +176,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     each. grown_shard is null under this law. Repeated rows and rows without id are placed like others; an empty table
     gives no rows; other columns of docs don't matter.
     """
+    return settle(docs.sparkSession, lambda: _sharded(docs, shards, id_col, text_col), "sharded")
+
+
+def _sharded(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from trawl.scratch import Files, new_path
+
 #: Arrow batches are bounded by rows and by bytes, so a run of very long texts can't fill a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 #: Folders that this thread has written.
 _own = threading.local()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests, one machine)."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="trawl-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. Spark reads these settings when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def written(path: str) -> str:
-    """Notes a folder, to be deleted by settle() if it is written while that runs."""
+    """Notes a folder, to be deleted by temporary() or settle() if it is written while they run."""
     _own.paths = [*getattr(_own, "paths", []), path]
     return path
 
@@ -39,22 +31,30 @@ def written(path: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it again. Unlike a cache it survives the loss of executors."""
     spark = df.sparkSession
-    path = written(f"{shared_folder(spark)}/trawl/{name}-{uuid.uuid4().hex}")
+    path = written(new_path(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """make()'s result, written; then the tables that make wrote on its way are deleted, as nothing refers to them."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were written inside, for what leaves no lazy result behind."""
     before = getattr(_own, "paths", [])
     _own.paths = []
     try:
-        out = materialise(make(), name)
-        *gone, kept = _own.paths
-        before = [*before, kept]
+        yield
     finally:
-        _own.paths = before
-    for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return out
+        gone, _own.paths = _own.paths, before
+        files = Files(spark)
+        for path in gone:
+            files.delete(path)
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result, written; then the tables that make wrote on its way are deleted, as nothing refers to them."""
+    path = new_path(spark, name)
+    with temporary(spark):
+        df = make()
+        df.write.parquet(path)
+    written(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trawl.llm import kernel
 from trawl.llm.labelled import fold as crc_fold
 from trawl.llm.labelled import sample, sampled_texts, training_rows
-from trawl.llm.store import bounded_batches
+from trawl.llm.store import bounded_batches, temporary
 
 #: Rows of each class that a fit takes at most, and terms that a lexicon has at most.
 PER_CLASS, MOST_TERMS = 2500, 4000
@@ -197,7 +197,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
     Null and empty texts have no hits and get the score of none. A null id is in no fold: held_out is false. Repeated
     rows score alike; an empty table gives no rows; other columns of docs don't matter.
     """
-    model = model or train(docs, labels, folds, held_out, id_col=id_col, text_col=text_col)
+    if model is None:
+        with temporary(docs.sparkSession):
+            model = train(docs, labels, folds, held_out, id_col=id_col, text_col=text_col)
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
