@@ -155,6 +155,43 @@ def test_decontamination_of_shared_passages(spark, monkeypatch):
     assert found[0] == found[1] and {(d, i) for d, i, _ in found[0]} == {(1, 0), (1, 1), (1, 2), (2, 23)}
 
 
+def test_blocks_lose_no_fingerprint_within_the_radius():
+    """The multi-index against all distances, and what it leaves of pairs at random."""
+    rng = np.random.default_rng(11)
+    prints = rng.integers(0, 1 << decontamination.WIDTH, (150, decontamination.BLOCKS), dtype=np.uint16)
+    index = decontamination.BlockIndex(prints)
+    near = []
+    for i in range(400):
+        flips = rng.permutation(decontamination.BITS)[: rng.integers(0, 50)]
+        bits = np.zeros(decontamination.BITS, np.uint16)
+        bits[flips] = 1
+        near.append(prints[i % 150] ^ (bits.reshape(decontamination.BLOCKS, -1) << np.arange(decontamination.WIDTH, dtype=np.uint16)).sum(axis=1, dtype=np.uint16))
+    other = np.concatenate([near, rng.integers(0, 1 << decontamination.WIDTH, (400, decontamination.BLOCKS), dtype=np.uint16)])
+    want = {(x, y) for x in range(len(other)) for y in range(150) if decontamination.distances(other[x : x + 1], prints[y : y + 1])[0] <= decontamination.RADIUS}
+    assert len(want) > 200 and set(zip(*map(np.ndarray.tolist, index.within(other)), strict=True)) == want
+    assert len(index.candidates(other[400:])[0]) < 0.4 * 400 * 150
+
+
+def test_recall_of_edited_items(benchmark):
+    """Items with words replaced, deleted or put in, of similarity 0.8 or more by plain counts, are all found."""
+    rng = random.Random(5)
+    texts = {r["item_id"]: r["text"] for r in benchmark.collect()}
+    items, asked = decontamination.Items(list(texts), list(texts.values())), 0
+    for item, text in list(texts.items()) * 4:
+        words = text.split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = ["changed"] * rng.randint(0, 1)
+        passage = " ".join(["before", "it", *words, "and", "after", "it"])
+        values, _ = decontamination.kernel.text_shingles(decontamination.case_folded(pa.array([passage])), 5)
+        size = len(items.sets[items.ids.index(item)])
+        best = max((items.similarity(values[s : s + size], items.ids.index(item)) for s in range(len(values) - size + 1)), default=0)
+        if best >= 0.8:
+            asked += 1
+            assert item in {m[0] for m in items.matches(values, items.hits(values), 0.8)}
+    assert asked >= 20
+
+
 def test_window_starts_of_a_long_text():
     """The best window of a text that repeats parts of an item, against similarities of all windows."""
     rng = np.random.default_rng(7)

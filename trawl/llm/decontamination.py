@@ -1,11 +1,11 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
 A document's windows of an item's number of words get SimHash fingerprints, sums of weighted shingle signs over prefix
-sums. Only windows that share a shingle with an item, found by an index of exact shingles, are fingerprinted, since all
-others have similarity 0; the distances of these to the item are computed in full, summed over blocks of bits, so blocks
-don't serve as an index. Pairs within the radius are
-verified by the exact weighted Jaccard similarity of their shingle sets; weights follow the number of different texts of
-the whole benchmark that have a shingle.
+sums. Only windows that share a shingle with an item are fingerprinted, since all others have similarity 0. A
+multi-index looks fingerprints up: one table for each block of bits gives the items whose block differs in at most
+RADIUS // BLOCKS bits, so that none within the radius is lost, as one of the blocks has at most that share of the
+differing bits. Candidates within the radius are verified by the exact weighted Jaccard similarity of their shingle
+sets; weights follow the number of different texts of the whole benchmark that have a shingle.
 """
 
 from __future__ import annotations
@@ -22,30 +22,61 @@ from trawl.llm import kernel
 from trawl.llm.store import bounded_batches, materialise
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bits, radius and blocks. At similarity 0.8 a distance has a mean of about 10 and a deviation of about 3.
-BITS, RADIUS, BLOCKS = 64, 19, 4
+#: Blocks, bits of each and the radius, the largest for which one of the blocks of a near fingerprint differs in two bits
+#: at most. At similarity 0.8 a distance has a mean of about 20 and a deviation of about 4.
+BLOCKS, WIDTH, RADIUS = 12, 11, 35
+BITS, NEAR = BLOCKS * WIDTH, RADIUS // BLOCKS
 #: Text of items that is sent to executors at once; a larger benchmark takes several passes of this size.
 ITEM_BYTES = 4 << 20
 #: Windows fingerprinted at once.
 CHUNK = 4096
-_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+_ONES = np.array([bin(i).count("1") for i in range(1 << WIDTH)], np.uint8)
+_FLIPS = np.flatnonzero(_ONES <= NEAR).astype(np.uint16)
+_POWERS = (1 << np.arange(WIDTH)).astype(np.uint16)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits by block: (len(a), len(b), BLOCKS)."""
-    width = BITS // BLOCKS
-    x = a[:, None] ^ b[None, :]
-    return np.stack([_ONES[((x >> np.uint64(width * i)) & np.uint64((1 << width) - 1)).astype(np.int64)] for i in range(BLOCKS)], axis=2)
+def _signs(values: np.ndarray) -> np.ndarray:
+    """BITS signs of each shingle, by three hashes of it."""
+    words = np.stack([values, kernel.mix(values + kernel.U64(kernel.STEP)), kernel.mix(values ^ kernel.U64(kernel.STEP))], axis=1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")[:, :BITS]
+    return bits.astype(np.float64) * 2 - 1
 
 
 def fingerprints(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the ``size`` shingles from each start."""
+    """SimHash of the ``size`` shingles from each start, by blocks: (starts, BLOCKS)."""
     low, high = int(starts.min()), int(starts.max()) + size
-    signs = ((values[low:high, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
-    sums = np.concatenate((np.zeros((1, BITS)), np.cumsum(signs * weights[low:high, None], axis=0)))
+    sums = np.concatenate((np.zeros((1, BITS)), np.cumsum(_signs(values[low:high]) * weights[low:high, None], axis=0)))
     at = starts - low
     bits = (sums[at + size] - sums[at]) > 1e-9
-    return (bits.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (bits.reshape(len(starts), BLOCKS, WIDTH) * _POWERS).sum(axis=2, dtype=np.uint16)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _ONES[a ^ b].sum(axis=1, dtype=np.int64)
+
+
+class BlockIndex:
+    """A multi-index of fingerprints: for each block a table from its value to the fingerprints near in that block, as bits."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.tables = np.zeros((BLOCKS, 1 << WIDTH, -(-len(prints) // 64)), np.uint64)
+        for i, own in enumerate(prints):
+            for b in range(BLOCKS):
+                self.tables[b, own[b] ^ _FLIPS, i // 64] |= np.uint64(1 << (i % 64))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in prints, places in the index) of pairs that are near in some block."""
+        found = self.tables[0][prints[:, 0]]
+        for b in range(1, BLOCKS):
+            found = found | self.tables[b][prints[:, b]]
+        return np.nonzero(np.unpackbits(found.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little"))
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As candidates(), of pairs within the radius."""
+        x, y = self.candidates(prints)
+        near = distances(prints[x], self.prints[y]) <= RADIUS
+        return x[near], y[near]
 
 
 def case_folded(column: pa.Array) -> pa.Array:
@@ -80,11 +111,25 @@ class Items:
         for i, s in enumerate(self.sets):
             for v in np.unique(s).tolist():
                 self.where.setdefault(v, []).append(i)
-        self.prints = np.array([fingerprints(s, self.weigh(s, i), np.array([0]), len(s))[0] for i, s in enumerate(self.sets)], np.uint64)
+        self.prints = [fingerprints(s, self.weigh(s, i), np.array([0]), len(s))[0] for i, s in enumerate(self.sets)]
+        # items of equal size and equal weights of all shingles share the windows' fingerprints and an index
+        self.groups: dict[tuple[int, int], list[int]] = {}
+        for i, s in enumerate(self.sets):
+            self.groups.setdefault((len(s), -1 if self.weights[i] is None else i), []).append(i)
+        self.indexes: dict[tuple[int, int], BlockIndex] = {}
         mask = 1 << 20
         self.filter = np.zeros(mask, bool)
         self.filter[(self.known & np.uint64(mask - 1)).astype(np.int64)] = True
 
+    def __getstate__(self):
+        return vars(self) | {"indexes": {}}
+
+    def index(self, group: tuple[int, int]) -> BlockIndex:
+        """Made where it is first used, as tables are larger than what they are made of."""
+        if group not in self.indexes:
+            self.indexes[group] = BlockIndex(np.array([self.prints[i] for i in self.groups[group]]))
+        return self.indexes[group]
+
     def weigh(self, values: np.ndarray, item: int) -> np.ndarray:
         """Weights for a comparison with an item: of its own shingles theirs, of all others their mean."""
         own, weights = self.unique[item], self.weights[item]
@@ -112,12 +157,12 @@ class Items:
         for p in hits.tolist():
             for i in self.where[int(values[p])]:
                 near.setdefault(i, []).append(p)
-        # items of equal size and equal weights of all shingles share the windows' fingerprints
         alike: dict[tuple[int, int], list[int]] = {}
         for i in near:
             alike.setdefault((len(self.sets[i]), -1 if self.weights[i] is None else i), []).append(i)
         best: dict[int, tuple[float, int, int]] = {}
-        for (size, _), items in alike.items():
+        for group, items in alike.items():
+            size = group[0]
             size_here = min(size, len(values))
             if size_here < similarity * size:
                 continue
@@ -134,10 +179,10 @@ class Items:
                 for run in np.split(own, np.flatnonzero(np.diff(own) > 4 * size_here) + 1):
                     span = values[run[0] : run[-1] + size_here]
                     prints = fingerprints(span, self.weigh(span, items[0]), run - run[0], size_here)
-                    blocks = _distances(prints, self.prints[items])
-                    close = (blocks.min(axis=2) <= RADIUS // BLOCKS) & (blocks.sum(axis=2, dtype=np.int64) <= RADIUS)
-                    for w, k in np.argwhere(close):
-                        i, s = items[k], int(run[w])
+                    for w, k in zip(*self.index(group).within(prints), strict=True):
+                        i, s = self.groups[group][k], int(run[w])
+                        if i not in near:
+                            continue
                         found = self.similarity(values[s : s + size_here], i)
                         if found >= similarity and (i not in best or found > best[i][0]):
                             best[i] = (found, s, self.sizes[i])
