@@ -22,26 +22,59 @@ from trawl.llm import kernel
 from trawl.llm.store import bounded_batches
 
 DICE = 0.8
-# Notices by which licences are granted, in their usual wording.
+_NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+
+
+def _gnu(kind: str, version: str, what: str = "program") -> str:
+    """The notice that a file under one of the GNU licences begins with."""
+    grant = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    warranty = f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+    return f"{grant} {warranty} You should have received a copy of the GNU {kind} Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+
+
+def _grant(kind: str, version: str, what: str = "program") -> str:
+    return _gnu(kind, version, what).split(" This " + what + " is distributed")[0]
+
+
+# Notices by which licences are granted and short licences as a whole, in their usual wording.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license."),
-    "MIT-text": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MIT-text": (_MIT, f"{_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_NO_WARRANTY}"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _grant("General", "3"), _gnu("General", "3")),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _grant("General", "2"), _gnu("General", "2")),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", _grant("Lesser General", "3"), _gnu("Lesser General", "3")),
+    "LGPL-2.1": (_grant("Lesser General", "2.1", "library"), _gnu("Lesser General", "2.1", "library")),
+    "AGPL-3.0": (_grant("Affero General", "3"), _gnu("Affero General", "3")),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license."),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "BSD-2-Clause": (f"{_BSD_TWO} {_BSD_WARRANTY}",),
+    "BSD-3-Clause": (f"{_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}",),
+    "ISC": (f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}"),
+    "0BSD": (f"{_ISC}. {_ISC_WARRANTY}",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.",),
 }
 _GAP = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?:])\s+(?=[A-Z])")
-_PARAGRAPH = re.compile(r"\n\s*\n")
 
 
 def normalise(text: str) -> str:
@@ -54,26 +87,6 @@ def bigrams(text: str) -> Counter:
     return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter((w, w) for w in words)
 
 
-def dice(a: Counter, b: Counter) -> float:
-    total = sum(a.values()) + sum(b.values())
-    return 2 * sum((a & b).values()) / total if total else 0.0
-
-
-def units(text: str) -> list[tuple[int, str]]:
-    """(line number, unit): each line, each of its sentences where it has several, each paragraph of several lines."""
-    out, line = [], 0
-    for number, own in enumerate(text.split("\n")):
-        out.append((number, own))
-        parts = _SENTENCE.split(own)
-        if len(parts) > 1:
-            out += [(number, p) for p in parts]
-    for paragraph in _PARAGRAPH.split(text):
-        if "\n" in paragraph:
-            out.append((line, paragraph.replace("\n", " ")))
-        line += paragraph.count("\n") + 2
-    return out
-
-
 class Templates:
     def __init__(self, texts: dict[str, tuple[str, ...]], least: float):
         self.least = least
@@ -105,72 +118,54 @@ class Templates:
             self.automaton.make_automaton()
         return next(self.automaton.iter(f" {normalise(text)} "), None) is not None
 
-    def windows(self, template: int, at: list[int], grams: list[tuple[str, str]]) -> Iterator[tuple[float, int, int]]:
-        """(similarity, first, last bigram) of the best run from each start; at are places of the template's bigrams."""
+    def windows(self, template: int, at: list[int], grams: list[tuple[str, str]]) -> Iterator[tuple[int, float, int, int]]:
+        """(bigrams in common, similarity, first, last bigram) of the best run from each start; at are places of the template's bigrams."""
         b, size = self.known[template][1], self.sizes[template]
         longest, common = size * (2 - self.least) / self.least + 1e-9, size * self.least / (2 - self.least) - 1e-9
         for k, start in enumerate(at):
             end = bisect_right(at, start + longest - 1)
             if end - k < common:
                 continue
-            left, shared, best = dict(b), 0, (0.0, 0)
+            left, shared, best = dict(b), 0, (0.0, 0, 0)
             for p in at[k:end]:
                 if left[grams[p]]:
                     left[grams[p]] -= 1
                     shared += 1
-                    best = max(best, (2 * shared / (size + p - start + 1), -p))
+                    best = max(best, (2 * shared / (size + p - start + 1), -p, shared))
             if best[0] >= self.least:
-                yield best[0], start, -best[1]
+                yield best[2], best[0], start, -best[1]
 
-    def notices(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """By licence: the best similarity of a run of words, the first line where one begins, and the number of lines
-        where one begins; of runs that overlap the most similar counts."""
-        words, lines = [], []
-        for number, own in enumerate(text.split("\n")):
-            own = normalise(own).split()
-            words += own
-            lines += [number] * len(own)
+    def runs(self, words: list[str]) -> Iterator[tuple[str, int, float, int, int]]:
+        """(licence, bigrams in common, similarity, first, last bigram) of runs of words that reach the threshold, the
+        best from each start among them."""
         grams = list(zip(words, words[1:], strict=False))
         places: dict[int, list[int]] = {}
         for p, g in enumerate(grams):
             for i in self.having.get(g, ()):
                 places.setdefault(i, []).append(p)
-        found: dict[str, list[tuple[float, int, int]]] = {}
         for i, at in places.items():
             if self.sizes[i] > 1 or i not in self.single.get(grams[at[0]][0], ()):
-                found.setdefault(self.known[i][0], []).extend(self.windows(i, at, grams))
+                yield from ((self.known[i][0], *w) for w in self.windows(i, at, grams))
         for p, w in enumerate(words if self.single else ()):
-            for i in self.single.get(w, ()):
-                found.setdefault(self.known[i][0], []).append((1.0, p, p - 1))
-        out = {}
-        for name, runs in found.items():
-            taken, kept = set(), {}
-            for d, first, last in sorted(runs, key=lambda r: (-r[0], r[1])):
-                # places of words: one more than of bigrams
-                own = range(first, last + 2)
-                if taken.isdisjoint(own):
-                    taken.update(own)
-                    kept.setdefault(lines[first], d)
-            if kept:
-                best = max(kept.values())
-                out[name] = (best, min(k for k, d in kept.items() if d == best), len(kept))
-        return out
-
-    def matches(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """As notices(), of layout units alone: lines, sentences and paragraphs."""
-        found: dict[str, dict[int, float]] = {}
-        low, high = min(self.sizes) * self.least / (2 - self.least) - 1e-9, max(self.sizes) * (2 - self.least) / self.least + 1e-9
-        for line, unit in units(text):
-            words = normalise(unit).count(" ") + 1
-            if not low <= max(words - 1, 1) <= high:
-                continue
-            own = bigrams(unit)
-            n = own.total()
-            for (name, b), size in zip(self.known, self.sizes, strict=True):
-                if min(n, size) >= max(n, size) * self.least / (2 - self.least) - 1e-9 and (d := dice(own, b)) >= self.least:
-                    lines = found.setdefault(name, {})
-                    lines[line] = max(lines.get(line, 0.0), d)
-        return {name: (max(lines.values()), min(k for k, v in lines.items() if v == max(lines.values())), len(lines)) for name, lines in found.items()}
+            yield from ((self.known[i][0], 1, 1.0, p, p - 1) for i in self.single.get(w, ()))
+
+    def notices(self, text: str) -> dict[str, tuple[float, int, int]]:
+        """By licence: the best similarity of a run of words, the first line where one begins, and the number of lines
+        where one begins. Of runs that overlap, of any licence, the one with most bigrams in common counts, then the
+        most similar, so a licence isn't found as others whose notices resemble its own."""
+        words, lines = [], []
+        for number, own in enumerate(text.split("\n")):
+            own = normalise(own).split()
+            words += own
+            lines += [number] * len(own)
+        taken, found = set(), {}
+        for name, _, d, first, last in sorted(self.runs(words), key=lambda r: (-r[1], -r[2], r[3], r[0])):
+            # places of words: one more than of bigrams
+            own = range(first, last + 2)
+            if taken.isdisjoint(own):
+                taken.update(own)
+                found.setdefault(name, {}).setdefault(lines[first], d)
+        return {name: (best := max(kept.values()), min(k for k, d in kept.items() if d == best), len(kept)) for name, kept in found.items()}
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
