@@ -373,6 +373,27 @@ def test_quotes_in_a_hot_conversation(spark):
     assert (got["long", 1]["n_quotes"], got["long", 1]["n_linked"], got["long", 1]["reply_to"]) == (20_001, 1, 0)
 
 
+@pytest.mark.parametrize("long", [10, 1000])
+def test_positions_follow_threads(spark, monkeypatch, long):
+    """Gapless places by thread and turn, with long conversations cut into ranges and without; rows that repeat or lack keys."""
+    monkeypatch.setattr(chat_format, "LONG", long)
+    draw = random.Random(3)
+    rows = [("hot", t, "u", f"say {t}" if t % 3 else f"> say {draw.randrange(t)}\nreply {t}" if t else "say 0") for t in range(300)]
+    rows += [("replies", 0, "u", "first words")] + [("replies", t, "u", f"> first words\nno {t}") for t in range(1, 90)]
+    rows += [(c, t, "u", f"{c} {t}") for c in "abc" for t in (5, 1, 1, -4)] + [(None, 1, "u", "x"), ("a", None, "u", "x")]
+    got = chat_format.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        if r["conv_id"] is None or r["turn"] is None:
+            assert r["position"] is None
+        else:
+            by[r["conv_id"]].append((r["position"], r["thread"], r["turn"]))
+    for own in by.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(len(own))) and [k[1:] for k in own] == sorted(k[1:] for k in own)
+
+
 def test_plain_conversations(spark):
     messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = chat_format.link_quotes(messages)

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm import bitmaps
-from trawl.llm.skew import join_by_size
+from trawl.llm.skew import HOT_KEYS, join_by_size
 from trawl.llm.store import materialise
 
 MARK = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 QUOTED = r"(?m)^[ \t]{0,3}>[^\n]*(?:\n|\z)"
 ROUNDS = 64
+#: Rows from which a conversation's order is made in parts, and the number of parts.
+LONG, PARTS = 1000, 64
 
 
 def _normal(text: Column) -> Column:
@@ -100,12 +102,41 @@ def _runs(messages: DataFrame, quotes: DataFrame) -> DataFrame:
     return spans.select("conv_id", "turn", F.explode(keys).alias("key"))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with ``position``: 0, 1, 2 ... in each conversation by (thread, turn), null without conversation or turn.
+
+    The few conversations that hold a large share of the rows, at most HOT_KEYS, are cut into ranges of that order by
+    approximate quantiles, so no window holds one whole.
+    """
+    named, other = rows.filter("conv_id is not null and turn is not null"), rows.filter("conv_id is null or turn is null")
+    total = rows.count()
+    long = named.groupBy("conv_id").agg(F.count("*").alias("_n"), (2 * F.max(F.abs("turn")) + 2).cast("double").alias("_span"))
+    long = materialise(long.filter(F.col("_n") > max(LONG, total // HOT_KEYS)).drop("_n"), "long")
+    order = [F.col(c) for c in ("thread", "turn", "role", "text")]
+    if long.isEmpty():
+        named = named.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long") - 1)
+        return named.unionByName(other.withColumn("position", F.lit(None).cast("long")))
+    key = F.col("thread") * F.col("_span") + F.col("turn")
+    cuts = named.join(F.broadcast(long), "conv_id").groupBy("conv_id", "_span")
+    cuts = materialise(cuts.agg(F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts")), "cuts")
+    part = F.when(F.col("_span").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda cut: cut < key)))
+    named = named.join(F.broadcast(cuts), "conv_id", "left").withColumn("_part", part).drop("_span", "_cuts")
+    sizes = named.join(F.broadcast(long.select("conv_id")), "conv_id").groupBy("conv_id", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = materialise(sizes.select("conv_id", "_part", F.coalesce(before, F.lit(0)).alias("_before")), "sizes")
+    at = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(*order)) - 1
+    named = named.withColumn("_at", at).join(F.broadcast(sizes), ["conv_id", "_part"], "left")
+    named = named.withColumn("position", F.col("_at") + F.coalesce("_before", F.lit(0))).select(*rows.columns, "position")
+    return named.unionByName(other.withColumn("position", F.lit(None).cast("long")))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, n_linked), a row for each row of messages.
+    """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, n_linked, position), a row for each row of messages.
 
     text is without quoted lines; reply_to is the turn replied to: of the messages quoted at level 1 the last, each
     found as the first message with the passage, earlier than the quoting one; blank lines don't matter. thread is the first turn of the chain
-    of replies and depth its length; in the order of (conv_id, thread, turn) replies follow what they answer. Messages
+    of replies and depth its length; position is the place in the conversation in the order of (thread, turn), in which
+    replies follow what they answer, null with a null conversation or turn; ties go by role and text. Messages
     that quote nothing, or nothing that is found, begin a thread at depth 0. n_quotes counts quoted passages that
     aren't blank, n_linked those that were found. A null text stays null; rows with a null conversation or turn are
     linked with nothing and have a null thread where the turn is null. Rows that repeat a conversation and turn are
@@ -122,7 +153,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     total = quotes.count()
     none = {"reply_to": F.lit(None).cast("long"), "thread": F.col("turn"), **{c: F.lit(0).cast("long") for c in ("depth", "n_quotes", "n_linked")}}
     if not total:
-        return bare.withColumns(none)
+        return _placed(bare.withColumns(none))
 
     asked = materialise(quotes.groupBy("conv_id", "key").agg(F.count("*").alias("_n")), "asked")
     # lines before and after a quoted one are in different paragraphs, though the text without quoted lines joins them
@@ -146,4 +177,4 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     out = marked.filter("_maybe").drop("_maybe").join(answers, ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
     out = out.select("conv_id", "turn", "role", "text", "reply_to", F.coalesce("thread", "turn").alias("thread"), *[F.coalesce(c, zero).alias(c) for c in ("depth", "n_quotes", "n_linked")])
-    return marked.filter(~F.col("_maybe")).drop("_maybe").withColumns(none).unionByName(out)
+    return _placed(marked.filter(~F.col("_maybe")).drop("_maybe").withColumns(none).unionByName(out))
