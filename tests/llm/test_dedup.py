@@ -61,6 +61,36 @@ def test_index_runs_merge(spark):
     assert index.find(merged.first()["digest"]).count() == 1
 
 
+def test_levels_and_filters(spark, monkeypatch):
+    """Runs are compacted level by level; filters hold all digests of their runs."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 2)
+    index = exact_dedup.DigestIndex(spark)
+    keyed = lambda rows: rows.select(exact_dedup.sha256((F.col("id") % 300).cast("string")).alias("digest"), F.col("id").alias("keep_id"))
+    shapes = []
+    for k in range(5):
+        index.flush(keyed(spark.range(100 * k, 100 * k + 100)))
+        shapes.append([len(level) for level in index.levels])
+    assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert sum(r.rows.agg(F.sum("n")).first()[0] for r in index.runs) == 500
+    marked = index.maybe(keyed(spark.range(300))).groupBy("_maybe").count().collect()
+    assert {r["_maybe"]: r["count"] for r in marked} == {True: 300}
+    other = spark.range(1000).select(exact_dedup.sha256(F.concat(F.lit("x"), "id")).alias("digest"))
+    assert index.maybe(other).filter("_maybe").count() < 500 and index.known(other).isEmpty() and index.known(keyed(spark.range(7))).count() == 7
+    merged = {r["keep_id"]: r["n"] for r in index.compact().collect()}
+    assert merged == {i: 2 if i < 200 else 1 for i in range(300)} and [len(level) for level in index.levels] == [0, 0, 1]
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, weak])
+def test_several_memtables(spark, docs, edges, monkeypatch, digest):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 5)
+    rows = docs.select("doc_id", "text").limit(60).unionByName(edges.select("doc_id", "text")).repartition(12)
+    rows = spark.createDataFrame(rows.unionByName(rows.filter("doc_id % 7 = 0")).collect(), rows.schema).repartition(12)
+    groups = plain_groups(rows.collect())
+    want = [(i, min((x for x in ids if x is not None), default=None), len(ids)) for ids in groups.values() for i in ids]
+    got = exact_dedup.exact_duplicates(rows, digest=digest).select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_bitmap(spark):
     keys = spark.range(0, 1000, 7).select(F.xxhash64("id").alias("h"))
     bits = bitmaps.bits_for(143)
