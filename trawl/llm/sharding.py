@@ -95,14 +95,14 @@ def _deal(state: DataFrame, votes: DataFrame, total: int) -> DataFrame:
     gain, state is returned.
     """
     groups = votes.groupBy("grp").agg(F.sum("votes").alias("size"), F.count("*").alias("pieces"))
-    # offsets as in gapless(), by size class and hashed bucket
-    buckets = max(1, -(-total // PER_BUCKET)) * 4
-    groups = groups.withColumn("_class", -F.floor(F.log2("size"))).withColumn("_bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
+    # offsets as in gapless(), by size class and hashed bucket; their number follows that of the groups still cut
     groups = materialise(groups, "cut")
+    buckets = max(1, -(-groups.count() // PER_BUCKET)) * 4
+    groups = groups.withColumn("_class", -F.floor(F.log2("size"))).withColumn("_bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
     offsets = groups.groupBy("_class", "_bucket").agg(F.sum("size").alias("_n"))
     offsets = offsets.withColumn("_before", F.sum("_n").over(Window.orderBy("_class", "_bucket")) - F.col("_n")).drop("_n")
     within = Window.partitionBy("_class", "_bucket").orderBy(F.desc("size"), "grp")
-    groups = groups.withColumn("_in", F.sum("size").over(within) - F.col("size")).join(F.broadcast(offsets), ["_class", "_bucket"])
+    groups = groups.withColumn("_in", F.sum("size").over(within) - F.col("size")).join(offsets, ["_class", "_bucket"])
     groups = groups.select("grp", "size", "pieces", (F.col("_before") + F.col("_in")).alias("start"))
     spans, low = [], 0
     for r in sorted(votes.groupBy("shard").agg(F.sum("votes").alias("n")).collect(), key=lambda r: (-r["n"], r["shard"])):
