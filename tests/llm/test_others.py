@@ -343,13 +343,45 @@ def brute_quotes(rows):
         for level, body in quotes:
             for c, t, other in sorted(r for r in rows if r[0] == conv):
                 plain = "".join(x for x in other.splitlines(True) if not re.match(r"[ \t]{0,3}>", x))
-                if body in {normal(plain), *map(normal, re.split(r"\n\s*\n", plain)), *map(normal, plain.split("\n"))}:
+                part = len(body.split()) >= 5 and f" {body} " in f" {normal(plain)} "
+                if part or body in {normal(plain), *map(normal, re.split(r"\n\s*\n", plain)), *map(normal, plain.split("\n"))}:
                     origins += [(level, t)] if t < turn else []
                     break
         out[conv, turn] = (max((t for level, t in origins if level == 1), default=None), len(quotes), len(origins))
     return out
 
 
+def test_quotes_of_parts_of_lines(spark):
+    """Runs of five words or more within lines and over their breaks; none shorter, cut in a word, or with words left out."""
+    own = "The quick brown fox jumps over\nthe lazy dog and runs away.\n\nNobody saw it."
+    parts = {"brown fox jumps over the lazy": 0, "fox jumps over": None, "rown fox jumps over the lazy": None, "fox  jumps\nOVER the\nlazy dog": 0, "brown fox over the lazy dog": None, "dog and runs away. nobody saw": 0, "the quick brown fox jumps": 0, "runs away. Nobody saw it.": 0}
+    rows = [("w", 0, own), *(("w", 1 + i, "".join(f"> {x}\n" for x in part.split("\n")) + f"reply {i}") for i, part in enumerate(parts))]
+    rows += [("other", 0, "> quick brown fox jumps over\nanother conversation"), ("w", 50, None), ("w", 51, ""), ("w", 52, "> reply 3\nyes")]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat_format.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id string, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows) and [got["w", 1 + i] for i in range(len(parts))] == list(parts.values())
+    assert got["other", 0] is None and got["w", 52] == 4
+
+
+def test_random_quotes_of_parts(spark):
+    """Random cuts of few different words against plain loops, so that heads of passages stand in many places."""
+    draw = random.Random(17)
+    rows = []
+    for conv in ("a", "b", "c"):
+        said = []
+        for turn in range(40):
+            words = draw.choices(["so", "it", "is"], k=draw.randint(5, 40))
+            quote = ""
+            if turn:
+                other = draw.choice(said)
+                at, n = draw.randrange(len(other)), draw.randint(1, 14)
+                quote = "".join(f"> {' '.join(other[i : i + 6])}\n" for i in range(at, min(at + n, len(other)), 6))
+            said.append(words)
+            rows.append((conv, turn, quote + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))))
+    got = chat_format.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id string, turn long, role string, text string")).collect()
+    want = brute_quotes(rows)
+    assert sum(n for _, _, n in want.values()) > 60 and {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"], r["n_linked"]) for r in got} == want
+
+
 def test_quotes_in_a_hot_conversation(spark):
     """One conversation has most rows, one message most replies, and one text very many passages."""
     draw = random.Random(7)

@@ -1,9 +1,9 @@
 """Quotation linking of conversations, in DataFrame operations only.
 
 Lines that begin with quote signs are parsed into passages by level. Normalised quoted passages are hashed and joined
-to the first message of the conversation that has the passage as its own text, as a paragraph or as a run of whole
-lines; of runs only those are hashed that begin with a passage's first line and have as many lines. The message
-quoted at level 1 is the one replied to; threads follow replies to their first message.
+to the first message of the conversation that has the passage as its own text, as a paragraph, as a run of whole lines
+or, from WORDS words on, as a run of whole words; of runs only those are hashed that begin as a passage does and are as
+long. The message quoted at level 1 is the one replied to; threads follow replies to their first message.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from trawl.llm.store import materialise
 MARK = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 QUOTED = r"(?m)^[ \t]{0,3}>[^\n]*(?:\n|\z)"
 ROUNDS = 64
+#: Words from which a passage is also looked for as a part of a line; shorter ones stand in too many messages.
+WORDS = 5
 #: Rows from which a conversation's order is made in parts, and the number of parts.
 LONG, PARTS = 1000, 64
 
@@ -41,6 +43,15 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), _normal), lambda line: line != "")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(_normal(text), " "), lambda word: word != "")
+
+
+def _joined(units: Column, at: Column | int, n: Column | int) -> Column:
+    """n units from the place at on, counted from 0."""
+    return F.array_join(F.slice(units, at + 1, n), " ")
+
+
 def _passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, at, level, body): runs of lines with the same quote level, by the first line's place.
 
@@ -85,20 +96,25 @@ def _among(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     return _marked(rows, keys, names).filter("_maybe").drop("_maybe")
 
 
-def _runs(messages: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(conv_id, turn, key): runs of lines of messages (conv_id, turn, text) that may be quoted passages of several lines."""
-    starts = quotes.filter("lines > 1").groupBy("conv_id", "first").agg(F.collect_set("lines").alias("counts"))
+def _runs(messages: DataFrame, quotes: DataFrame, units: Column, head: int) -> DataFrame:
+    """(conv_id, turn, key): runs of units of messages (conv_id, turn, text) that may be quoted passages.
+
+    quotes has the number of units (n) and the hash of the first ``head`` of them (first).
+    """
+    starts = quotes.groupBy("conv_id", "first").agg(F.collect_set("n").alias("counts"))
     starts = materialise(starts, "starts")
     message = ["conv_id", "turn", "source"]
-    messages = messages.select("conv_id", "turn", F.sha2("text", 256).alias("source"), _lines(F.col("text")).alias("own"))
-    lines = messages.select(*message, F.posexplode(F.transform("own", lambda line: F.sha2(line, 256))).alias("at", "first"))
-    lines = materialise(_among(lines, starts, ["conv_id", "first"]), "lines")
-    starts = starts.join(lines.groupBy("conv_id", "first").agg(F.count("*").alias("_n")), ["conv_id", "first"])
-    spans = join_by_size(lines, starts, ["conv_id", "first"], "_n", lines.count())
-    spans = spans.select(*message, F.explode("counts").alias("lines"), "at").groupBy(*message).agg(F.collect_set(F.struct("at", "lines")).alias("spans"))
+    messages = messages.select("conv_id", "turn", F.sha2("text", 256).alias("source"), units.alias("own"))
+    # the array is named twice, so it is made once and not within the function
+    heads = F.transform(F.when(F.size("own") >= head, F.sequence(F.lit(0), F.size("own") - head)), lambda at: F.xxhash64(_joined(F.col("own"), at, head)))
+    places = messages.select(*message, F.posexplode(heads).alias("at", "first"))
+    places = materialise(_among(places, starts, ["conv_id", "first"]), "places")
+    starts = starts.join(places.groupBy("conv_id", "first").agg(F.count("*").alias("_n")), ["conv_id", "first"])
+    spans = join_by_size(places, starts, ["conv_id", "first"], "_n", places.count())
+    spans = spans.select(*message, F.explode("counts").alias("n"), "at").groupBy(*message).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     spans = materialise(spans, "spans")
     spans = _among(messages, spans, ["conv_id", "turn"]).join(spans, message)
-    keys = F.transform("spans", lambda s: F.sha2(F.array_join(F.slice("own", s["at"] + 1, s["lines"]), " "), 256))
+    keys = F.transform("spans", lambda s: F.sha2(_joined(F.col("own"), s["at"], s["n"]), 256))
     return spans.select("conv_id", "turn", F.explode(keys).alias("key"))
 
 
@@ -134,7 +150,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """(conv_id, turn, role, text, reply_to, thread, depth, n_quotes, n_linked, position), a row for each row of messages.
 
     text is without quoted lines; reply_to is the turn replied to: of the messages quoted at level 1 the last, each
-    found as the first message with the passage, earlier than the quoting one; blank lines don't matter. thread is the first turn of the chain
+    found as the first message with the passage, earlier than the quoting one; blank lines don't matter, nor do line
+    breaks in passages of WORDS words or more, which may be parts of lines, cut between words. thread is the first turn of the chain
     of replies and depth its length; position is the place in the conversation in the order of (thread, turn), in which
     replies follow what they answer, null with a null conversation or turn; ties go by role and text. Messages
     that quote nothing, or nothing that is found, begin a thread at depth 0. n_quotes counts quoted passages that
@@ -145,8 +162,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
     quoting = rows.filter(F.col("text").rlike(r"(?m)^[ \t]{0,3}>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quotes = _passages(quoting).withColumn("lines", _lines(F.col("body"))).filter(F.size("lines") > 0)
-    key, first = F.sha2(F.array_join("lines", " "), 256), F.sha2(F.col("lines")[0], 256)
-    quotes = quotes.select("conv_id", "turn", "at", "level", key.alias("key"), first.alias("first"), F.size("lines").alias("lines"))
+    quotes = quotes.withColumn("words", F.split(F.array_join("lines", " "), " "))
+    line, head = F.xxhash64(F.col("lines")[0]), F.xxhash64(_joined(F.col("words"), F.lit(0), WORDS))
+    quotes = quotes.select("conv_id", "turn", "at", "level", F.sha2(F.array_join("lines", " "), 256).alias("key"), line.alias("line"), head.alias("head"), F.size("lines").alias("lines"), F.size("words").alias("words"))
     quotes = materialise(quotes.distinct(), "quotes")
     plain = F.when(F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), _own(F.col("text"))).otherwise(F.col("text"))
     bare = rows.select("conv_id", "turn", "role", plain.alias("text"))
@@ -163,8 +181,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own = rows.select("conv_id", "turn", plain.alias("text"), F.col("text").alias("whole"))
     own = _among(own.filter("conv_id is not null and turn is not null and text is not null"), asked, ["conv_id"])
     keys = own.select("conv_id", "turn", F.explode(F.transform(forms, _key)).alias("key"))
-    if not quotes.filter("lines > 1").isEmpty():
-        keys = keys.unionByName(_runs(own, quotes))
+    short = quotes.filter(f"lines > 1 and words < {WORDS}").selectExpr("conv_id", "line as first", "lines as n")
+    long = quotes.filter(f"words >= {WORDS}").selectExpr("conv_id", "head as first", "words as n")
+    for runs, units, head in ((short, _lines(F.col("text")), 1), (long, _words(F.col("text")), WORDS)):
+        if not runs.isEmpty():
+            keys = keys.unionByName(_runs(own, runs, units, head))
     own = _among(keys, asked, ["conv_id", "key"])
     first = own.groupBy("conv_id", "key").agg(F.min("turn").alias("origin")).join(asked, ["conv_id", "key"])
     found = join_by_size(quotes, first, ["conv_id", "key"], "_n", total).filter("origin < turn")

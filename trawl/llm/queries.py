@@ -107,6 +107,7 @@ _LINKS = r"""
         f AS (SELECT p.conv_id, p.turn, p.level, p.place, min(n.turn) AS origin FROM p JOIN n ON n.conv_id = p.conv_id AND n.turn < p.turn
               WHERE list_contains(n.forms, array_to_string(b, ' '))
                  OR list_contains(list_transform(range(1, len(n.own_lines) - len(b) + 2), lambda i: array_to_string(n.own_lines[i:i + len(b) - 1], ' ')), array_to_string(b, ' '))
+                 OR (len(string_split(array_to_string(b, ' '), ' ')) >= 5 AND contains(' ' || n.forms[1] || ' ', ' ' || array_to_string(b, ' ') || ' '))
               GROUP BY p.conv_id, p.turn, p.level, p.place),
         c AS (SELECT conv_id, turn, count(*) AS n_quotes FROM p GROUP BY conv_id, turn),
         k AS (SELECT conv_id, turn, count(*) AS n_linked, max(origin) FILTER (level = 1) AS reply_to FROM f GROUP BY conv_id, turn),
